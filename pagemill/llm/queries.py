@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding, urlfilter
+from . import bpe, chat, mixing, quality, sharding, topk, urlfilter
 from .common import read
 
 URL_RULES = [
@@ -17,6 +17,12 @@ URL_RULES = [
 ]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.report(docs).drop("text", "n_lines")
@@ -26,6 +32,16 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents"))
+    both = bpe.decode(encoded)
+    return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).drop("text")
@@ -78,6 +94,18 @@ f AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN f USING (page_id)
 """
 
+OP5_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
@@ -115,8 +143,11 @@ FROM r
 """
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op5_top_k": op5_top_k,
+    "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op9_chat_formatting": op9_chat_formatting,
 }
@@ -124,6 +155,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "op4_url_filters": OP4_SQL,
+    "op5_top_k": OP5_SQL,
     "op7_sharding": OP7_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
