@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, sharding, topk, urlfilter
-from .common import read
+from . import bpe, chat, langid, mixing, quality, sharding, tokenout, topk, urlfilter
+from .common import read, scratch
 
 URL_RULES = [
     urlfilter.UrlRule("com", "/", "allow"),
@@ -23,6 +23,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(langid.learnable(F.col("doc_id"), F.col("lang"))))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.report(docs).drop("text", "n_lines")
@@ -47,6 +54,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).drop("text")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards as written and read again; ids as a digest."""
+    made = tokenout.sequences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    path = scratch(spark, "token_output")
+    tokenout.write(spark, made, path, shards=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = "slot long, position int, doc_id long, chunk long, n_tokens int, ids binary, shard long"
+    written = spark.read.schema(schema).parquet(path)
+    return written.select("slot", "shard", "position", "doc_id", "chunk", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring conversations make a pair: the even one is chosen, the odd one rejected."""
     turns = read(spark, sf_dir, "conversations")
@@ -144,11 +161,13 @@ FROM r
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op5_top_k": op5_top_k,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
+    "op8_token_output": op8_token_output,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
