@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, sharding, tokenout, topk, urlfilter
+from . import bpe, chat, langid, mixing, neardup, quality, sharding, tokenout, topk, urlfilter
 from .common import read, scratch
 
 URL_RULES = [
@@ -70,6 +70,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(read(spark, sf_dir, "documents").select("doc_id", "text"), k=2).drop("text")
+
+
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -159,6 +163,22 @@ SELECT pair_id, chosen_id, rejected_id,
 FROM r
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.other = p.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -169,6 +189,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_token_output": op8_token_output,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL = {
@@ -177,4 +198,5 @@ ORACLE_SQL = {
     "op5_top_k": OP5_SQL,
     "op7_sharding": OP7_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }
