@@ -147,20 +147,20 @@ def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _bucketed(percent: int):
-    """Rows (key, doc, n) sorted by key and doc, to candidate pairs and the members of large buckets."""
+    """Rows (key, place, doc, n) sorted by key and doc, to candidate pairs and the members of large buckets (b is null)."""
+    names = ["key", "place", "a", "b", "n"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=b < 0) if len(b) else pa.array(b), pa.array(n)], ["key", "a", "b", "n"])
+        def out(key, place, a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(n)], names)
 
-        def large(key, doc, n, reps):
+        def large(key, place, doc, n, reps):
             for r, m in reps:
                 ok = _near(n, np.full(len(n), m), percent) & (doc > r)
-                yield out(key[ok], np.full(int(ok.sum()), r), doc[ok], n[ok])
-            members = pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.nulls(len(doc), pa.int64()), pa.array(n)], ["key", "a", "b", "n"])
-            yield members
+                yield out(key[ok], place[ok], np.full(int(ok.sum()), r), doc[ok], n[ok])
+            yield out(key, place, doc, None, n)
 
-        def closed(key, doc, n):
+        def closed(key, place, doc, n):
             """Whole buckets."""
             if not len(key):
                 return
@@ -171,34 +171,35 @@ def _bucketed(percent: int):
                 ok = (key[s:] == key[:-s]) & (row_size[s:] <= SMALL)
                 if not ok.any():
                     break
-                ok &= _near(n[s:], n[:-s], percent)
-                at = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(doc[at + s]), pa.array(n[at])], ["key", "a", "b", "n"])
+                at = np.flatnonzero(ok & _near(n[s:], n[:-s], percent))
+                yield out(key[at], place[at], doc[at], doc[at + s], n[at])
             for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                k, d, m = key[start : start + size], doc[start : start + size], n[start : start + size]
-                yield from large(k, d, m, list(zip(d[:REPS].tolist(), m[:REPS].tolist(), strict=True)))
+                rows = [x[start : start + size] for x in (key, place, doc, n)]
+                yield from large(*rows, list(zip(rows[2][:REPS].tolist(), rows[3][:REPS].tolist(), strict=True)))
 
-        rest = (np.zeros(0, np.int64),) * 3
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         open_key, reps = None, []
         for batch in batches:
-            rows = [np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "doc", "n"), strict=True)]
+            rows = [np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "place", "doc", "n"), strict=True)]
             if open_key is not None:  # a large bucket goes on
-                end = int(np.searchsorted(rows[0] != open_key, True)) if (rows[0] != open_key).any() else len(rows[0])
+                other = np.flatnonzero(rows[0] != open_key)
+                end = int(other[0]) if len(other) else len(rows[0])
                 if end:
                     yield from large(*(r[:end] for r in rows), reps)
                 rows = [r[end:] for r in rows]
+                rest = rows
                 if not len(rows[0]):
-                    rest = rows
                     continue
                 open_key = None
             if not len(rows[0]):
                 continue
-            last = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
+            other = np.flatnonzero(rows[0] != rows[0][-1])
+            last = int(other[-1]) + 1 if len(other) else 0
             yield from closed(*(r[:last] for r in rows))
             rest = [r[last:] for r in rows]
             if len(rest[0]) > SMALL:
                 open_key = rest[0][-1]
-                reps = list(zip(rest[1][:REPS].tolist(), rest[2][:REPS].tolist(), strict=True))
+                reps = list(zip(rest[2][:REPS].tolist(), rest[3][:REPS].tolist(), strict=True))
                 yield from large(*rest, reps)
                 rest = [r[:0] for r in rest]
         yield from closed(*rest)
@@ -307,24 +308,21 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
         marks.where("n > 0").join(nodes, "digest").where("doc = node").dropDuplicates(["doc"]).select("doc", "n", "a", "b", "sketch")
     )
     table = F.posexplode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
-    keyed = reps.select("doc", "n", table.alias("place", "key")).select(F.xxhash64("place", "key").alias("key"), "doc", "n")
+    keyed = reps.select("doc", "n", table.alias("place", "key")).select(F.xxhash64("place", "key").alias("key"), "place", "doc", "n")
     found = cut_lineage(
-        keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_bucketed(percent), "key long, a long, b long, n long")
+        keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_bucketed(percent), "key long, place int, a long, b long, n long")
     )
     sketches = reps.select("doc", "sketch")
-    own = docs
-    first = cut_lineage(confirmed(found.where("b is not null").select("a", "b").distinct(), own, sketches, k, percent))
-    comps = cut_lineage(components(first))
-    members = found.where("b is null").select("key", F.col("a").alias("doc"), "n").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
+    first = cut_lineage(confirmed(found.where("b is not null").select("a", "b").distinct(), docs, sketches, k, percent))
+    comps = components(first)
+    members = found.where("b is null").select("key", "place", F.col("a").alias("doc"), "n").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     members = cut_lineage(members.withColumn("comp", F.coalesce("comp", "doc")))
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    places = reps.select("doc", "sketch", table.alias("place", "key")).select("doc", "sketch", "place", F.xxhash64("place", "key").alias("key"))
-    wide = members.join(mixed, "key", "left_semi").join(places, ["key", "doc"])
     again = (
-        wide.select("key", "place", "doc", "comp", "n", "sketch")
+        members.join(mixed, "key", "left_semi").join(sketches, "doc")
         .repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent), "a long, b long")
     )
-    second = confirmed(again, own, sketches, k, percent)
+    second = confirmed(again, docs, sketches, k, percent)
     all_ = cut_lineage(components(first.unionAll(second)))
     c, n, d = fresh(df, "comp_", "n_", "d_")
     final = (
