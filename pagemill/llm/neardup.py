@@ -8,7 +8,9 @@ with a probability of 9e-5, those of 0.85 with 3e-6.
 * Round one: in each bucket of up to ``SMALL`` nodes all pairs are candidates, in a larger one every
   node with the bucket's first ``REPS`` nodes. Set sizes and a sketch (a byte of every minimum) drop
   pairs far below the threshold; the others are confirmed on full sets.
-* Round two is the exact way for large buckets: where one still holds nodes of several components,
+* Round two takes large buckets that still hold several components, in 14 of the tables: each node
+  outside the largest component meets its two likest nodes (by sketch) of other components.
+* Round three is the exact way for large buckets: where one still holds nodes of several components,
   all its pairs across components go through sketch and confirmation, each in one bucket alone. A
   group of copies thus never emits its pairs, and no link between components is lost.
 * Components come from alternating large and small stars over written tables.
@@ -207,13 +209,27 @@ def _bucketed(percent: int):
     return each
 
 
-def _across(percent: int):
+def _across(percent: int, best: int = 0):
     """Members of large buckets, sorted by key and component, to pairs across components.
 
     A pair comes from the bucket of the first group of either collection in which its sketches
-    agree, so from one bucket only.
+    agree, so from one bucket only. ``best``: only so many pairs of a node, the likest by sketch,
+    from nodes that are not in the bucket's largest component.
     """
 
+    def likest(doc, comp, n, sketch):
+        starts = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(comp)]]))
+        largest = comp[starts[sizes.argmax()]]
+        for i in np.flatnonzero(comp != largest).tolist():
+            others = np.flatnonzero((comp != comp[i]) & _near(n, n[i], percent))
+            if len(others):
+                like = (sketch[others] == sketch[i]).mean(axis=1)
+                order = np.argsort(-like, kind="stable")[:best]
+                order = order[like[order] >= SKETCH_PART]
+                o = others[order]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[o])), pa.array(np.maximum(doc[i], doc[o]))], ["a", "b"])
+
     def pairs(doc, comp, n, sketch, at):
         groups = sketch.reshape(len(doc), 2 * GROUPS, MINIMA)
         edge = np.searchsorted(comp, comp, side="right")
@@ -233,7 +249,10 @@ def _across(percent: int):
         def run(table: pa.Table):
             doc, comp, n = (table[c].to_numpy() for c in ("doc", "comp", "n"))
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(doc), -1)
-            yield from pairs(doc, comp, n, sketch, int(table["place"][0].as_py()))
+            if best:
+                yield from likest(doc, comp, n, sketch)
+            else:
+                yield from pairs(doc, comp, n, sketch, int(table["place"][0].as_py()))
 
         rest = None
         for batch in batches:
@@ -314,16 +333,21 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
     )
     sketches = reps.select("doc", "sketch")
     first = cut_lineage(confirmed(found.where("b is not null").select("a", "b").distinct(), docs, sketches, k, percent))
-    comps = components(first)
-    members = found.where("b is null").select("key", "place", F.col("a").alias("doc"), "n").join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-    members = cut_lineage(members.withColumn("comp", F.coalesce("comp", "doc")))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    again = (
-        members.join(mixed, "key", "left_semi").join(sketches, "doc")
-        .repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent), "a long, b long")
-    )
-    second = confirmed(again, docs, sketches, k, percent)
-    all_ = cut_lineage(components(first.unionAll(second)))
+    members = found.where("b is null").select("key", "place", F.col("a").alias("doc"), "n")
+
+    def more(links: DataFrame, members: DataFrame, best: int) -> DataFrame:
+        comps = components(links).withColumnRenamed("node", "doc")
+        known = cut_lineage(members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        across = (
+            known.join(mixed, "key", "left_semi").join(sketches, "doc")
+            .repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
+        )
+        return cut_lineage(confirmed(across.distinct() if best else across, docs, sketches, k, percent))
+
+    diagonal = F.col("place") % (GROUPS + 1) == 0
+    second = first.unionAll(more(first, members.where(diagonal), best=2))
+    all_ = components(second.unionAll(more(second, members, best=0)))
     c, n, d = fresh(df, "comp_", "n_", "d_")
     final = (
         marks.select("doc", "n", "digest").join(nodes, "digest", "left").join(all_, "node", "left")
