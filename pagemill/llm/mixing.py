@@ -65,7 +65,7 @@ def knapsack(lengths: np.ndarray, spare: np.ndarray, want: int, span: int = SPAN
     usable = (lengths > 0) & (spare > 0)
     if want <= 0 or want > span or not usable.any():
         return out
-    top = int(min(2 * span, want + lengths[usable].min()))
+    top = 2 * want  # a sum beyond is farther off than none at all
     reach = np.zeros(top + 1, dtype=bool)
     reach[0] = True
     by = np.full(top + 1, -1, dtype=np.int32)  # the part that first reached a sum
