@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,7 @@ def _ids(column: pa.Array, kind: str) -> list[np.ndarray]:
 
 
 def sequences(df: DataFrame, tokens: str = "text", key: str = "doc_id", length: int = LENGTH, seed: int = KEY, stride: int = STRIDE, stable: bool = True) -> DataFrame:
-    """slot, shard, position, doc key, chunk, n_tokens and ids of every sequence.
+    """slot, shard, position, doc key, chunk, n_tokens and the packed (compressed) ids of every sequence.
 
     ``tokens``: a string column, taken as bytes, or a binary column of 32-bit ids.
     """
@@ -87,6 +88,7 @@ def sequences(df: DataFrame, tokens: str = "text", key: str = "doc_id", length:
 
         start, n = sent.value.get(TaskContext.get().partitionId(), (0, 0))
         at = start
+        squeeze = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for low in range(0, len(whole), 512):
                 batch = whole.slice(low, 512)
@@ -104,26 +106,33 @@ def sequences(df: DataFrame, tokens: str = "text", key: str = "doc_id", length:
                 used = np.minimum(length, sizes[doc] - chunk * length)
                 slots = feistel(np.arange(at, at + count), total, seed)
                 at += count
-                edges = (np.arange(count + 1) * length * dtype.itemsize).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(edges), pa.py_buffer(flat)])
+                rows_of = flat.reshape(count, length)
+                data = pa.array([squeeze.compress(x.tobytes()) for x in rows_of], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slots), pa.array(slots // stride), pa.array((slots % stride).astype(np.int32)), batch["key"].take(pa.array(doc)), pa.array(chunk), pa.array(used.astype(np.int32)), data],
-                    ["slot", "shard", "position", key, "chunk", "n_tokens", "ids"],
+                    ["slot", "shard", "position", key, "chunk", "n_tokens", "packed"],
                 )
         if at != start + n:
             raise RuntimeError("the input's rows changed between two passes; materialise it with stable=False")
 
     kept = df.schema[key].dataType.simpleString()
-    return rows.mapInArrow(cut, f"slot long, shard long, position int, {key} {kept}, chunk long, n_tokens int, ids binary")
+    return rows.mapInArrow(cut, f"slot long, shard long, position int, {key} {kept}, chunk long, n_tokens int, packed binary")
 
 
 def write(spark: SparkSession, numbered: DataFrame, path: str, shards: int) -> None:
     """One file a shard, its sequences in slot order. A failed run is simply repeated."""
-    (
-        numbered.repartitionByRange(max(1, shards), "shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.mode("overwrite").partitionBy("shard").parquet(path)
-    )
+    dealt = numbered.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
+    schema = T.StructType([T.StructField("ids", T.BinaryType()) if f.name == "packed" else f for f in numbered.schema.fields])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                ids = pa.array([open_.decompress(x) for x in batch["packed"].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids if n == "packed" else batch[n] for n in batch.schema.names], schema.names)
+
+    dealt.mapInArrow(unpacked, schema).write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def resume(spark: SparkSession, path: str, slot: int = 0, stride: int = STRIDE) -> DataFrame:
