@@ -11,8 +11,9 @@ with a probability of 9e-5, those of 0.85 with 3e-6.
 * Round two takes large buckets that still hold several components, in 14 of the tables: each node
   outside the largest component meets its two likest nodes (by sketch) of other components.
 * Round three is the exact way for large buckets: where one still holds nodes of several components,
-  all its pairs across components go through sketch and confirmation, each in one bucket alone. A
-  group of copies thus never emits its pairs, and no link between components is lost.
+  sketches are compared across components inside it, and a row (node, component) leaves it instead
+  of the node's pairs. Every such node is then compared with all of that component on full sets, in
+  blocks of about ``BLOCK``. No group emits its pairs, and no link between components is lost.
 * Components come from alternating large and small stars over written tables.
 
 Buckets are streamed in key order, in bounded memory. Links, components and sets stay on executors.
@@ -42,6 +43,8 @@ PERCENT = 80
 GROUPS = 14  # hashes in either collection
 MINIMA = 3  # minima in a hash
 SMALL, REPS = 16, 4
+#: In round three about so many nodes of a component meet twice as many nodes from outside it in a task.
+BLOCK = 128
 #: Node ids of up to so many documents are broadcast to fetch their texts (16 MB); more are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 #: At similarity 0.8 the sketch agrees in less than this part of its bytes with a probability under 1e-5.
@@ -210,11 +213,13 @@ def _bucketed(percent: int):
 
 
 def _across(percent: int, best: int = 0):
-    """Members of large buckets, sorted by key and component, to pairs across components.
+    """Members of large buckets, sorted by key and component, to what is to be compared across components.
 
-    A pair comes from the bucket of the first group of either collection in which its sketches
-    agree, so from one bucket only. ``best``: only so many pairs of a node, the likest by sketch,
-    from nodes that are not in the bucket's largest component.
+    Without ``best``: rows (a, b) of a node and another component that holds a node like it by
+    sketch; the node is the one whose component has fewer nodes in the bucket. A pair counts in the
+    bucket of the first group of either collection in which its sketches agree, so in one only.
+    ``best``: pairs of nodes, so many for a node, the likest by sketch, from nodes that are not in
+    the bucket's largest component.
     """
 
     def likest(doc, comp, n, sketch):
@@ -230,20 +235,28 @@ def _across(percent: int, best: int = 0):
                 o = others[order]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[o])), pa.array(np.maximum(doc[i], doc[o]))], ["a", "b"])
 
-    def pairs(doc, comp, n, sketch, at):
+    def outside(doc, comp, n, sketch, at):
         groups = sketch.reshape(len(doc), 2 * GROUPS, MINIMA)
         edge = np.searchsorted(comp, comp, side="right")
-        for i in range(len(doc)):
-            others = np.arange(edge[i], len(doc))
-            others = others[_near(n[others], n[i], percent)]
-            if not len(others):
-                continue
-            others = others[(sketch[others] == sketch[i]).mean(axis=1) >= SKETCH_PART]
-            same = (groups[others] == groups[i]).all(axis=2)
-            first = same[:, :GROUPS].argmax(axis=1) * GROUPS + same[:, GROUPS:].argmax(axis=1)
-            others = others[first == at]
-            if len(others):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[others])), pa.array(np.maximum(doc[i], doc[others]))], ["a", "b"])
+        share = edge - np.searchsorted(comp, comp, side="left")
+        for first_row in np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])).tolist():
+            met = []  # nodes of later components with fewer nodes here
+            for i in range(first_row, int(edge[first_row])):
+                others = np.arange(edge[i], len(doc))
+                others = others[_near(n[others], n[i], percent)]
+                others = others[(sketch[others] == sketch[i]).mean(axis=1) >= SKETCH_PART]
+                if not len(others):
+                    continue
+                same = (groups[others] == groups[i]).all(axis=2)
+                first = same[:, :GROUPS].argmax(axis=1) * GROUPS + same[:, GROUPS:].argmax(axis=1)
+                others = others[first == at]
+                fewer = share[others] < share[i]
+                met = np.union1d(met, others[fewer]).astype(np.int64)
+                comps = np.unique(comp[others[~fewer]])
+                if len(comps):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(comps), doc[i])), pa.array(comps)], ["a", "b"])
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[met]), pa.array(np.full(len(met), comp[first_row]))], ["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(table: pa.Table):
@@ -252,7 +265,7 @@ def _across(percent: int, best: int = 0):
             if best:
                 yield from likest(doc, comp, n, sketch)
             else:
-                yield from pairs(doc, comp, n, sketch, int(table["place"][0].as_py()))
+                yield from outside(doc, comp, n, sketch, int(table["place"][0].as_py()))
 
         rest = None
         for batch in batches:
@@ -269,6 +282,22 @@ def _across(percent: int, best: int = 0):
     return each
 
 
+def full_sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc, set) of the documents in ``nodes``, written."""
+    nodes = cut_lineage(nodes.distinct())
+    few = nodes.count() <= BROADCAST_NODES
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _steps(whole, "text"):
+                sizes, hashes = shingle_sets(batch["text"], k)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch["doc"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["doc", "set"])
+
+    texts = docs.join(F.broadcast(nodes) if few else nodes, "doc", "left_semi")
+    return cut_lineage(texts.mapInArrow(sets, "doc long, set array<long>"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough, from pairs without repetition."""
 
@@ -280,24 +309,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, pe
 
     left, right = (sketches.select(F.col("doc").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
     close = cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
-    nodes = close.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    few = nodes.count() <= BROADCAST_NODES
-    texts = docs.join(F.broadcast(nodes) if few else nodes, "doc", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _steps(whole, "text"):
-                sizes, hashes = shingle_sets(batch["text"], k)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["doc"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["doc", "set"])
-
-    full = cut_lineage(texts.mapInArrow(sets, "doc long, set array<long>"))
+    full = full_sets(close.select(F.explode(F.array("a", "b")).alias("doc")), docs, k)
     left, right = (full.select(F.col("doc").alias(c), F.col("set").alias(f"x{c}")) for c in "ab")
     both = F.size(F.array_intersect("xa", "xb"))
     joined = close.join(left, "a").join(right, "b")
     return joined.where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
+def _compared(percent: int):
+    """Rows sorted by (comp, chunk, block, role): a component's nodes (role 0), then those from outside, to links."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, inside, sets, index = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy() for c in ("comp", "chunk", "block")], axis=1)
+            doc, role = batch["doc"].to_numpy(), batch["role"].to_numpy()
+            edges, flat = batch["set"].offsets.to_numpy(), batch["set"].values.to_numpy()
+            found = [np.zeros((0, 2), np.int64)]
+            for i, key in enumerate(map(tuple, keys.tolist())):
+                own = flat[edges[i] : edges[i + 1]]
+                if key != at:
+                    at, inside, sets, index = key, [], [], None
+                if not role[i]:
+                    inside.append(doc[i])
+                    sets.append(own.copy())
+                    continue
+                if index is None:
+                    nodes, sizes = np.array(inside, np.int64), np.array([len(x) for x in sets], np.int64)
+                    hashes = np.concatenate([np.zeros(0, np.int64), *sets])
+                    order = np.argsort(hashes, kind="stable")
+                    index = hashes[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+                lo, hi = (np.searchsorted(index[0], own, side) for side in ("left", "right"))
+                runs = hi - lo
+                hits = index[1][np.repeat(hi - np.cumsum(runs), runs) + np.arange(runs.sum())]
+                both = np.bincount(hits, minlength=len(nodes))
+                ok = nodes[(100 * both >= percent * (sizes + len(own) - both)) & (nodes != doc[i])]
+                found.append(np.stack([np.minimum(ok, doc[i]), np.maximum(ok, doc[i])], axis=1))
+            links = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+
+    return each
+
+
+def against_components(wanted: DataFrame, comps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between nodes and components: each ``doc`` of ``wanted`` with every node of its ``comp``, on full sets.
+
+    A component without rows in ``comps`` is the node of that number. Both sides are dealt by hash, so
+    neither a large component nor one that many nodes are compared with meets in one task.
+    """
+    wanted = cut_lineage(wanted.distinct())
+    asked = cut_lineage(wanted.groupBy("comp").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("chunks")))
+    inside = cut_lineage(comps.join(asked.select("comp"), "comp").select("doc", "comp").unionAll(asked.select(F.col("comp").alias("doc"), "comp")).distinct())
+    sizes = cut_lineage(inside.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked, "comp"))
+
+    def dealt(rows: DataFrame, role: int, one: str, every: str) -> DataFrame:
+        return rows.join(sizes, "comp").select(
+            "doc", "comp", F.lit(role).alias("role"), F.pmod(F.xxhash64("doc"), F.col(one)).cast("int").alias(one),
+            F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias(every),
+        ).withColumnsRenamed({"chunks": "chunk", "blocks": "block"})
+
+    sets = full_sets(wanted.select("doc").unionAll(inside.select("doc")), docs, k)
+    return (
+        dealt(wanted, 1, "chunks", "blocks").unionByName(dealt(inside, 0, "blocks", "chunks")).join(sets, "doc")
+        .repartition("comp", "chunk", "block").sortWithinPartitions("comp", "chunk", "block", "role", "doc")
+        .mapInArrow(_compared(percent), "a long, b long")
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes with an edge; comp is the component's smallest node."""
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -336,14 +414,16 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
     members = found.where("b is null").select("key", "place", F.col("a").alias("doc"), "n")
 
     def more(links: DataFrame, members: DataFrame, best: int) -> DataFrame:
-        comps = components(links).withColumnRenamed("node", "doc")
+        comps = cut_lineage(components(links).withColumnRenamed("node", "doc"))
         known = cut_lineage(members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
         mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         across = (
             known.join(mixed, "key", "left_semi").join(sketches, "doc")
             .repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
         )
-        return cut_lineage(confirmed(across.distinct() if best else across, docs, sketches, k, percent))
+        if best:
+            return cut_lineage(confirmed(across.distinct(), docs, sketches, k, percent))
+        return cut_lineage(against_components(across.select(F.col("a").alias("doc"), F.col("b").alias("comp")), comps, docs, k, percent))
 
     diagonal = F.col("place") % (GROUPS + 1) == 0
     second = first.unionAll(more(first, members.where(diagonal), best=2))

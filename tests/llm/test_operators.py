@@ -182,6 +182,7 @@ def test_feistel_is_a_permutation_and_shards_resume(spark, tmp_path):
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 3)  # so that small groups take the way of large ones
     monkeypatch.setattr(neardup, "REPS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
     rng = random.Random(6)
     base = [f"w{i}" for i in range(60)]
     texts = list(ODD) + ["One", "w1  W2", "w1 w2"]
@@ -205,3 +206,17 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert all(got[i]["kept"] == (comp[i] == i) for i in got)
+
+
+def test_nodes_against_components_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 2)  # several blocks and chunks a component
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    frame = docs(spark, texts).select(F.col("doc_id").alias("doc"), "text")
+    comps = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc long, comp long")
+    asked = [(d, c) for d in range(30, 60) for c in (0, 1, 2, 59) if (d + c) % 4] + [(30, 1)]
+    got = neardup.against_components(spark.createDataFrame(asked, "doc long, comp long"), comps, frame, 2, 50).collect()
+    sets = [set(zip(w, w[1:], strict=False)) for w in map(str.split, texts)]
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 50 * len(sets[a] | sets[b])
+    want = {(min(d, m), max(d, m)) for d, c in asked for m in ([59] if c == 59 else range(c, 30, 3)) if d != m and alike(d, m)}
+    assert want and {(r["a"], r["b"]) for r in got} == want
