@@ -6,7 +6,7 @@ collection, so 84 minima serve 196 tables of six minima each. Texts of similarit
 with a probability of 9e-5, those of 0.85 with 3e-6.
 
 * Round one: in each bucket of up to ``SMALL`` nodes all pairs are candidates, in a larger one every
-  node with the bucket's first ``REPS`` nodes. Set sizes and a sketch (a byte of every minimum) drop
+  node with the bucket's first ``REPS`` (one). Set sizes and a sketch (a byte of every minimum) drop
   pairs far below the threshold; the others are confirmed on full sets.
 * Round two takes large buckets that still hold several components, in 14 of the tables: each node
   outside the largest component meets its two likest nodes (by sketch) of other components.
@@ -42,7 +42,9 @@ SHINGLE = 5
 PERCENT = 80
 GROUPS = 14  # hashes in either collection
 MINIMA = 3  # minima in a hash
-SMALL, REPS = 16, 4
+SMALL = 16
+#: First nodes of a large bucket that all its nodes meet in round one. Later rounds find what these miss, so more of them repeat work.
+REPS = 1
 #: In round three about so many nodes of a component meet twice as many nodes from outside it in a task.
 BLOCK = 128
 #: Node ids of up to so many documents are broadcast to fetch their texts (16 MB); more are joined by shuffle.
