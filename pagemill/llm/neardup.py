@@ -10,10 +10,11 @@ with a probability of 9e-5, those of 0.85 with 3e-6.
   pairs far below the threshold; the others are confirmed on full sets.
 * Round two takes large buckets that still hold several components, in 14 of the tables: each node
   outside the largest component meets its two likest nodes (by sketch) of other components.
-* Round three is the exact way for large buckets: where one still holds nodes of several components,
-  sketches are compared across components inside it, and a row (node, component) leaves it instead
-  of the node's pairs. Every such node is then compared with all of that component on full sets, in
-  blocks of about ``BLOCK``. No group emits its pairs, and no link between components is lost.
+* Round three is the exact way for large buckets that still hold nodes of several components. It
+  makes rows (node, component): of every node outside the bucket's largest component (of more than
+  ``SMALL`` nodes) and that component, and, where sketches are alike, of the nodes outside it among
+  themselves. Each such node is then compared with the whole component on full sets, in blocks of
+  about ``BLOCK``. No group emits its pairs, and no link between components is lost.
 * Components come from alternating large and small stars over written tables.
 
 Buckets are streamed in key order, in bounded memory. Links, components and sets stay on executors.
@@ -418,14 +419,23 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
     def more(links: DataFrame, members: DataFrame, best: int) -> DataFrame:
         comps = cut_lineage(components(links).withColumnRenamed("node", "doc"))
         known = cut_lineage(members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        across = (
-            known.join(mixed, "key", "left_semi").join(sketches, "doc")
-            .repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
+        across = lambda rows: (
+            rows.join(sketches, "doc").repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
         )
         if best:
-            return cut_lineage(confirmed(across.distinct(), docs, sketches, k, percent))
-        return cut_lineage(against_components(across.select(F.col("a").alias("doc"), F.col("b").alias("comp")), comps, docs, k, percent))
+            mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            return cut_lineage(confirmed(across(known.join(mixed, "key", "left_semi")).distinct(), docs, sketches, k, percent))
+        # the largest component of a bucket stays behind: all nodes outside it are compared with the whole component
+        share = known.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        largest = share.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp", "lo", "hi")).alias("top")).where("comps > 1")
+        top = F.when(F.col("top.c") > SMALL, F.col("top.comp"))
+        largest = largest.select("key", top.alias("top"), F.col("top.lo").alias("lo"), F.col("top.hi").alias("hi"))
+        kept = known.alias("m").join(largest.alias("l"), (F.col("m.key") == F.col("l.key")) & ~F.col("comp").eqNullSafe(F.col("top")))
+        outside = cut_lineage(kept.select("m.key", "place", "doc", "n", "comp", "top", "lo", "hi"))
+        size_fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+        wanted = outside.where(F.col("top").isNotNull() & size_fits).select("doc", F.col("top").alias("comp"))
+        wanted = wanted.unionAll(across(outside.select("key", "place", "doc", "n", "comp")).select(F.col("a").alias("doc"), F.col("b").alias("comp")))
+        return cut_lineage(against_components(wanted, comps, docs, k, percent))
 
     diagonal = F.col("place") % (GROUPS + 1) == 0
     second = first.unionAll(more(first, members.where(diagonal), best=2))
