@@ -220,7 +220,8 @@ def _across(percent: int, best: int = 0):
 
     Without ``best``: rows (a, b) of a node and another component that holds a node like it by
     sketch; the node is the one whose component has fewer nodes in the bucket. A pair counts in the
-    bucket of the first group of either collection in which its sketches agree, so in one only.
+    bucket of the first group of either collection in which its hashes (``keys``, whole) agree, so in
+    one only, and that is a bucket which holds both.
     ``best``: pairs of nodes, so many for a node, the likest by sketch, from nodes that are not in
     the bucket's largest component.
     """
@@ -238,8 +239,7 @@ def _across(percent: int, best: int = 0):
                 o = others[order]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[o])), pa.array(np.maximum(doc[i], doc[o]))], ["a", "b"])
 
-    def outside(doc, comp, n, sketch, at):
-        groups = sketch.reshape(len(doc), 2 * GROUPS, MINIMA)
+    def outside(doc, comp, n, sketch, keys, at):
         edge = np.searchsorted(comp, comp, side="right")
         share = edge - np.searchsorted(comp, comp, side="left")
         for first_row in np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])).tolist():
@@ -250,7 +250,7 @@ def _across(percent: int, best: int = 0):
                 others = others[(sketch[others] == sketch[i]).mean(axis=1) >= SKETCH_PART]
                 if not len(others):
                     continue
-                same = (groups[others] == groups[i]).all(axis=2)
+                same = keys[others] == keys[i]
                 first = same[:, :GROUPS].argmax(axis=1) * GROUPS + same[:, GROUPS:].argmax(axis=1)
                 others = others[first == at]
                 fewer = share[others] < share[i]
@@ -268,7 +268,8 @@ def _across(percent: int, best: int = 0):
             if best:
                 yield from likest(doc, comp, n, sketch)
             else:
-                yield from outside(doc, comp, n, sketch, int(table["place"][0].as_py()))
+                keys = pc.list_flatten(table["keys"]).to_numpy().reshape(len(doc), 2 * GROUPS)
+                yield from outside(doc, comp, n, sketch, keys, int(table["place"][0].as_py()))
 
         rest = None
         for batch in batches:
@@ -419,8 +420,9 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
     def more(links: DataFrame, members: DataFrame, best: int) -> DataFrame:
         comps = cut_lineage(components(links).withColumnRenamed("node", "doc"))
         known = cut_lineage(members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+        signs = sketches if best else reps.select("doc", "sketch", F.concat("a", "b").alias("keys"))
         across = lambda rows: (
-            rows.join(sketches, "doc").repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
+            rows.join(signs, "doc").repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
         )
         if best:
             mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,18 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert all(got[i]["kept"] == (comp[i] == i) for i in got)
 
 
+def test_pairs_whose_sketches_agree_but_not_their_hashes_are_met():
+    width, groups, place = 2 * neardup.GROUPS * neardup.MINIMA, neardup.GROUPS, 1 * neardup.GROUPS + 1
+    same = list(range(2 * groups))
+    other = [-1 if g in (0, groups) else g for g in same]  # the first groups agree in bytes only
+    row = {"key": 1, "place": place, "n": 10, "sketch": bytes(width)}
+    batch = pa.RecordBatch.from_pylist([row | {"doc": 1, "comp": 1, "keys": same}, row | {"doc": 2, "comp": 2, "keys": other}])
+    got = [(r["a"], r["b"]) for out in neardup._across(80)(iter([batch])) for r in out.to_pylist()]
+    assert got == [(1, 2)]
+    batch = pa.RecordBatch.from_pylist([row | {"doc": d, "comp": d, "keys": same} for d in (1, 2)])
+    assert not [r for out in neardup._across(80)(iter([batch])) for r in out.to_pylist()]  # met at place 0
+
+
 def test_nodes_against_components_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 2)  # several blocks and chunks a component
     rng = random.Random(7)
