@@ -4,8 +4,9 @@ Each source has a target: its weight's share of the budget, at most ``max_repeat
 holds; what is above goes to the others by weight. Whole passes over a source come first. For the
 budget that remains, documents are counted by exact length; every length first gives its
 proportional part, long lengths then close the gap to a few thousand words, and a bounded-knapsack
-dynamic program over the counts hits the rest as closely as any choice can. Per length, documents
-are selected by seeded hash.
+dynamic program over the counts hits the rest as closely as any choice can. Where only documents too
+long for that are left, the program runs over the whole rest, or, where that is too large, the nearest
+sum of the spare documents is taken directly. Per length, documents are selected by seeded hash.
 
 Scale: text never moves for the counts; one row per (source, length, 1/4096 of the hash range) is
 summed map-side. The selection joins on the same three columns, so a length that a third of all
@@ -34,6 +35,8 @@ MAX_REPEAT = 2
 SEED = 20240229
 #: The dynamic program runs over so many words at most.
 SPAN = 1 << 16
+#: Where spare documents are too long for that, it runs over so many words, and words times parts, at most.
+DEEP, DEEP_WORK = 1 << 22, 1 << 31
 BUCKET_BITS = 12
 
 
@@ -94,6 +97,22 @@ def knapsack(lengths: np.ndarray, spare: np.ndarray, want: int, span: int = SPAN
     return out
 
 
+def nearest_few(lengths: np.ndarray, spare: np.ndarray, want: int) -> np.ndarray:
+    """The choice nearest ``want`` where every spare document is longer than half of it; ties go to the smaller sum.
+
+    Two such documents are beyond ``want`` already, so only none, one, or the two shortest can be nearest.
+    """
+    out = np.zeros(len(lengths), dtype=np.int64)
+    usable = np.flatnonzero((lengths > 0) & (spare > 0))
+    usable = usable[np.argsort(lengths[usable], kind="stable")]
+    shortest = np.repeat(usable[:2], np.minimum(spare[usable[:2]], 2))[:2].tolist()
+    choices = [[], *([int(i)] for i in usable), *([shortest] if len(shortest) == 2 else [])]
+    best = min(choices, key=lambda c: (abs(sum(int(lengths[i]) for i in c) - want), sum(int(lengths[i]) for i in c)))
+    for i in best:
+        out[i] += 1
+    return out
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, want: int, span: int = SPAN) -> np.ndarray:
     """Documents to take of each length (at most ``counts``) for ``want`` words in all."""
     total = sum(int(a) * int(b) for a, b in zip(lengths, counts, strict=True))
@@ -101,7 +120,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, want: int, span: int = SPAN) ->
         return np.zeros(len(lengths), dtype=np.int64)
     if want >= total:
         return counts.astype(np.int64)
-    take = np.array([int(c) * want // total for c in counts], dtype=np.int64)
+    part = np.array([int(c) * want // total for c in counts], dtype=np.int64)
+    take = part.copy()
     left = want - sum(int(a) * int(b) for a, b in zip(lengths, take, strict=True))
     for i in np.argsort(-lengths, kind="stable"):
         if left <= span:
@@ -109,7 +129,17 @@ def fit(lengths: np.ndarray, counts: np.ndarray, want: int, span: int = SPAN) ->
         k = int(min(counts[i] - take[i], (left - span // 2) // lengths[i])) if lengths[i] else 0
         take[i] += k
         left -= k * int(lengths[i])
-    return take + knapsack(lengths, counts - take, left, span)
+    if left <= span:
+        return take + knapsack(lengths, counts - take, left, span)
+    # what is spare is longer than left - span / 2 now, so than half of left
+    found = take + nearest_few(lengths, counts - take, left)
+    rest = want - sum(int(a) * int(b) for a, b in zip(lengths, part, strict=True))
+    copies = sum(int(min(c, 2 * rest // n)).bit_length() for n, c in zip(lengths.tolist(), (counts - part).tolist(), strict=True) if n > 0)
+    if rest <= DEEP and 2 * rest * copies <= DEEP_WORK:
+        whole = part + knapsack(lengths, counts - part, rest, rest)
+        off = lambda x: abs(sum(int(a) * int(b) for a, b in zip(lengths, x, strict=True)) - want)
+        found = whole if off(whole) < off(found) else found
+    return found
 
 
 def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", size: Column | None = None, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:

@@ -98,6 +98,27 @@ def test_knapsack_against_all_subsets():
         assert abs(int((got * lengths).sum()) - want) == min(abs(s - want) for s in sums)
 
 
+def test_fit_of_few_very_long_documents():
+    assert mixing.fit(np.array([300_000]), np.array([1]), 210_000).tolist() == [1]
+    assert mixing.fit(np.array([300_000]), np.array([1]), 140_000).tolist() == [0]
+    assert mixing.fit(np.array([90_000, 150_000, 260_000]), np.array([1, 1, 1]), 255_000).tolist() == [0, 0, 1]
+    rng = random.Random(8)
+    for _ in range(30):
+        lengths = np.array(sorted(rng.sample(range(40_000, 900_000), 5)))
+        counts = np.array([rng.randint(1, 2) for _ in range(5)])
+        want = rng.randint(150_000, int((lengths * counts).sum()) - 1)
+        part = np.array([int(c) * want // int((lengths * counts).sum()) for c in counts])
+        sums = [int(((np.array(ks) + part) * lengths).sum()) for ks in np.ndindex(*(counts - part + 1))]
+        got = mixing.fit(lengths, counts, want)
+        assert (got <= counts).all()
+        if want - int((part * lengths).sum()) > 66_000:
+            greedy = abs(int((got * lengths).sum()) - want)
+            assert greedy <= 66_000 or greedy == min(abs(x - want) for x in sums)
+    # beyond the program's words: none, one or the two shortest
+    assert mixing.nearest_few(np.array([60, 70]), np.array([2, 1]), 100).tolist() == [2, 0]
+    assert mixing.fit(np.array([30_000_000]), np.array([1]), 21_000_000).tolist() == [1]
+
+
 def test_mix_meets_targets_and_repeats(spark):
     texts = [None, ""] + ["w " * (i % 17 + 1) for i in range(400)]
     sources = [None, "b"] + ["abc"[i % 3] if i % 5 else None for i in range(400)]
