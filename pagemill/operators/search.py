@@ -103,6 +103,24 @@ def weights_of(index: Index, asked: DataFrame, prefix: bool) -> DataFrame:
     return exact.unionByName(more).groupBy("qid", "term").agg(F.max("mult").alias("mult"))
 
 
+def scored_terms(index: Index, queries: DataFrame, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
+    """qid, terms, corrections of the queries that match: what ``rank`` scores with.
+
+    ``terms`` are dictionary terms: a query's own and completions, or else its corrections.
+    ``corrections`` (token and the commonest term for it) is null unless the fallback answered.
+    """
+    asked, dictionary = query_terms(queries), index.dictionary()
+    found = weights_of(index, asked, prefix).join(dictionary, "term", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    pair = "array<struct<token:string,to:string>>"
+    found = found.withColumn("corrections", F.lit(None).cast(pair))
+    if not fuzzy:
+        return found
+    missed = asked.join(found.select("qid"), "qid", "left_anti").select("qid", F.explode(F.array_distinct("tokens")).alias("token"))
+    first = F.when(F.col("r") == 1, F.struct("token", F.col("term").alias("to")))
+    near = corrections(dictionary, missed).groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_list(first)).cast(pair).alias("corrections"))
+    return found.unionByName(near)
+
+
 def rank(index: Index, queries: DataFrame, limit: int = 10, prefix: bool = True, fuzzy: bool = True, phrase: bool = True) -> DataFrame:
     """qid, rank, doc, score, total, fuzzy for a batch of queries (qid, text)."""
     asked = query_terms(queries)

@@ -155,9 +155,10 @@ def cjk_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = A.document_entries(spark, sf_dir)
     queries = A.benchmark_queries(spark, sf_dir)
-    hits = SE.rank(SE.build(entries), queries)
+    index = SE.build(entries)
+    hits = SE.rank(index, queries)
     shaped = entries.select("doc", F.concat(F.lit("page:"), "doc").alias("id"), F.lit("page").alias("type"), F.concat(F.lit("/d"), "doc").alias("route"), "title", "content", X.excerpt(F.col("content")).alias("excerpt"))
-    return RS.results(hits, shaped, SE.query_terms(queries))
+    return RS.results(hits, shaped, SE.scored_terms(index, queries).withColumnRenamed("terms", "tokens"))
 
 
 # page graph -----------------------------------------------------------------------------------

@@ -79,3 +79,24 @@ def test_result_has_all_fields(spark):
     out = RS.results(SE.rank(SE.build(rows), queries), rows, SE.query_terms(queries))
     assert set(RS.FIELDS) <= set(out.columns)
     assert out.where("rank = 1").first()["snippet"].count("<mark>") == 1
+
+
+def test_results_are_marked_by_the_terms_that_scored(spark):
+    rows = entries(spark, [(0, "t", "zebra crossing zeb", 0.6), (1, "t", "x " * 100 + "inset captions", 0.6)])
+    queries = spark.createDataFrame([(1, "zeb"), (2, "insef"), (3, "qqqq")], "qid long, text string")
+    index = SE.build(rows)
+    scored = SE.scored_terms(index, queries)
+    got = {r["qid"]: (r["terms"], r["corrections"] and [tuple(c) for c in r["corrections"]]) for r in scored.collect()}
+    assert got == {1: (["zeb", "zebra"], None), 2: (["inset"], [("insef", "inset")])}
+    out = {r["qid"]: r for r in RS.results(SE.rank(index, queries), rows, scored.withColumnRenamed("terms", "tokens")).collect()}
+    assert out[1]["matches"] == [[0, 4], [15, 17]]
+    assert out[2]["matches"] == [[200, 204]] and "<mark>inset</mark>" in out[2]["snippet"]
+
+
+def test_search_results_query_marks_corrections(spark, tmp_path):
+    from pagemill.plans import catalogue
+
+    spark.createDataFrame([(0, "t\n" + "x " * 100 + "inset captions")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "insef")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (row,) = catalogue.QUERIES["search_results"](spark, str(tmp_path)).collect()
+    assert row["qid"] == 7 and "<mark>inset</mark>" in row["snippet"] and len(row["matches"]) == 1
