@@ -23,6 +23,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 3) -> DataF
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.btrim(first).alias("text"))
 
 
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every benchmark item as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
 def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions hold nations, nations hold suppliers; flags by remainders of the keys."""
     region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))

@@ -100,3 +100,38 @@ def test_search_results_query_marks_corrections(spark, tmp_path):
     spark.createDataFrame([(7, "insef")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     (row,) = catalogue.QUERIES["search_results"](spark, str(tmp_path)).collect()
     assert row["qid"] == 7 and "<mark>inset</mark>" in row["snippet"] and len(row["matches"]) == 1
+
+
+def test_whole_texts_are_ranked_against_brute_force(spark, tmp_path):
+    import math
+
+    from pagemill.plans import catalogue
+
+    texts = ["t\nred fox sits by old stone wall", "t\nold stone mill", "t\nwallpaper only", "t\nred red fox", "t\nwall stone old by sits fox red"]
+    asked = "red fox sits by old stone wall"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, asked)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = [[w for w in t.split() if len(w) > 1] for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    df = {w: sum(w in d for d in words) for d in words for w in d}
+
+    def brute(mult, boost):
+        out = []
+        for i, d in enumerate(words):
+            s = 0.0
+            for term, m in mult.items():
+                tf = d.count(term) / (0.25 + 0.75 * len(d) / mean)
+                s += m * math.log(1 + (len(words) - df[term] + 0.5) / (df[term] + 0.5)) * tf * 2.2 / (tf + 1.2) * 0.6
+            if s:
+                out.append((i, s * (1.35 if boost and asked in " ".join(texts[i].split()) else 1)))
+        return sorted(out, key=lambda x: (-round(x[1], 6), x[0]))
+
+    exact = dict.fromkeys(asked.split(), 1.0)
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["term"], r["df"]) for r in run("prefix_completions_whole")) == [("wall", 2), ("wallpaper", 1)]
+    for name, want in [("bm25f_batch_whole", brute(exact, False)), ("bm25f_prefix_whole", brute(exact | {"wallpaper": 0.5}, False)), ("phrase_boost_rank_whole", brute(exact, True))]:
+        got = sorted(run(name), key=lambda r: r["rank"])
+        assert [r["doc"] for r in got] == [i for i, _ in want], name
+        assert [r["score"] for r in got] == pytest.approx([s for _, s in want], abs=2e-6)
+    # document 1 holds none of the first three words
+    assert {r["doc"] for r in run("search_results")} == {0, 1, 2, 3, 4}
