@@ -8,7 +8,7 @@ pass over their rows alone.
 
 A bucket with a single key cannot be split by hashing. If it is over the limit (one huge row, or a
 key that very many rows share), its rows are dealt into ``part`` 0, 1, ... in the order of input
-partitions, each below the limit unless one row alone is above it.
+partitions, each within the limit unless one row alone is above it; bytes and rows are then a part's.
 
 Defined results: null text has no bytes; null keys hash as one key of their own; repeated rows with
 one key share a shard; an empty table gives no shard; other columns pass through.
@@ -100,7 +100,13 @@ def shard(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit:
         return out.withColumn("part", F.lit(0).cast("long")).drop(h, found)
     # single keys over the limit: running bytes within each input partition, never over the whole group
     fine = out.where(~F.col(found)).withColumn("part", F.lit(0).cast("long")).drop(h, found)
-    w = Window.partitionBy("shard", pid).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    deep = out.where(F.col(found)).withColumn(pid, F.spark_partition_id())
-    deep = deep.withColumn("part", (F.col(pid).cast("long") * F.lit(1 << 32)) + F.floor((F.sum("n_bytes").over(w) - F.col("n_bytes")) / limit))
+    # (a row over half the limit is a part of its own; the others begin within the limit less their largest)
+    deep = out.where(F.col(found)).withColumn(pid, F.spark_partition_id()).withColumn(h, F.col("n_bytes") > F.lit(limit // 2))
+    group = Window.partitionBy("shard", pid, h)
+    w = group.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.floor((F.sum("n_bytes").over(w) - F.col("n_bytes")) / (F.lit(limit) - F.max("n_bytes").over(group)))
+    at = F.when(F.col(h), 2 * F.row_number().over(group.orderBy(key)).cast("long") + 1).otherwise(2 * begins)
+    deep = deep.withColumn("part", F.col(pid).cast("long") * F.lit(1 << 32) + at)
+    part = Window.partitionBy("shard", "part")
+    deep = deep.withColumns({"shard_bytes": F.sum("n_bytes").over(part), "shard_rows": F.count("*").over(part)})
     return fine.unionByName(deep.drop(h, found, pid))

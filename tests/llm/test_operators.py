@@ -77,6 +77,19 @@ def test_shards_fit_their_limit(spark):
     assert sharding.shard(same.limit(0)).count() == 0
 
 
+def test_parts_of_one_key_fit_their_limit(spark):
+    sizes = [400, 400, 250, 250, 250, 900, 300, 1, 600, 250, 0, 550] * 3
+    same = spark.createDataFrame([(7, "z" * n) for n in sizes], "doc_id long, text string").coalesce(1)
+    by = {}
+    for r in sharding.shard(same, limit=600).collect():
+        by.setdefault((r["shard"], r["part"]), []).append(r)
+    assert sum(map(len, by.values())) == len(sizes)
+    for rows in by.values():
+        total = sum(r["n_bytes"] for r in rows)
+        assert total <= 600 or len(rows) == 1
+        assert {(r["shard_bytes"], r["shard_rows"]) for r in rows} == {(total, len(rows))}
+
+
 def test_preference_pairs(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (2, 0, "user", None), (4, 0, None, "x"), (5, 0, None, "x"), (None, 0, "user", "lost")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
