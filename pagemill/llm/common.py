@@ -6,7 +6,9 @@ import math
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,10 +78,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "table")
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the scratch tables of the innermost open ``tidied``.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch tables written within are deleted at its end, but for those that the given function writes.
+
+    Those go with the ``tidied`` around this one; the outermost one's stay as long as the shared
+    folder, for the result is read from them.
+    """
+    written: list[str] = []
+    around = _WRITTEN.get()
+    token = _WRITTEN.set(written)
+
+    def kept(df: DataFrame) -> DataFrame:
+        inner = _WRITTEN.set(around)
+        try:
+            return cut_lineage(df)
+        finally:
+            _WRITTEN.reset(inner)
+
+    try:
+        yield kept
+    finally:
+        _WRITTEN.reset(token)
+        for path in written:
+            delete(spark, path)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

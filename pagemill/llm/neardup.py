@@ -9,15 +9,23 @@ with a probability of 9e-5, those of 0.85 with 3e-6.
   node with the bucket's first ``REPS`` (one). Set sizes and a sketch (a byte of every minimum) drop
   pairs far below the threshold; the others are confirmed on full sets.
 * Round two takes large buckets that still hold several components, in 14 of the tables: each node
-  outside the largest component meets its two likest nodes (by sketch) of other components.
+  outside the largest component meets its two likest nodes (by sketch) of other components, among
+  ``NEIGHBOURS`` or so of the bucket's nodes that a hash deals together.
 * Round three is the exact way for large buckets that still hold nodes of several components. It
   makes rows (node, component): of every node outside the bucket's largest component (of more than
   ``SMALL`` nodes) and that component, and, where sketches are alike, of the nodes outside it among
-  themselves. Each such node is then compared with the whole component on full sets, in blocks of
-  about ``BLOCK``. No group emits its pairs, and no link between components is lost.
+  themselves, in pairs of blocks of about ``PART`` nodes, a task each. Each such node is then compared
+  with the whole component on full sets, in blocks of about ``BLOCK``. No group emits its pairs, and
+  no link between components is lost.
 * Components come from alternating large and small stars over written tables.
 
-Buckets are streamed in key order, in bounded memory. Links, components and sets stay on executors.
+Buckets are streamed in key order, in bounded memory. Keys that a sample finds in very many nodes are
+dealt over all tasks, with a representative from the sample; texts that very many documents share get
+their component by a broadcast of at most ``HOT`` digests. Links, components and sets stay on
+executors. Scratch tables are deleted in the end, but for the one that the result is read from.
+
+Very long texts are read whole; slices of texts are bounded by bytes, so only one long text counts.
+Columns named like the added ones raise.
 
 Defined results: null, empty and blank text has an empty set and is linked with nothing; a null id
 is linked with nothing and keeps a null component; rows with one id count as one document; other
@@ -37,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh
+from .common import cut_lineage, fresh, tidied
 
 SHINGLE = 5
 PERCENT = 80
@@ -48,6 +56,14 @@ SMALL = 16
 REPS = 1
 #: In round three about so many nodes of a component meet twice as many nodes from outside it in a task.
 BLOCK = 128
+#: Nodes of a large bucket that are compared at once: in round two by sketch, in round three in either block of a pair.
+NEIGHBOURS, PART = 1024, 512
+#: A node in so many shows the keys that at least SEEN of them, and a part of 1 / HOT, have: at most HOT keys a table.
+SAMPLE, SEEN = 64, 24
+#: A text is dealt by broadcast if its copies are at least a part of 1 / HOT of the documents.
+HOT = 256
+#: Texts are shingled in slices of so many bytes.
+SLICE = 2_000_000
 #: Node ids of up to so many documents are broadcast to fetch their texts (16 MB); more are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 #: At similarity 0.8 the sketch agrees in less than this part of its bytes with a probability under 1e-5.
@@ -113,7 +129,7 @@ def collections(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def _steps(batch: pa.RecordBatch, column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def _steps(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` bytes of text; a text is never cut."""
     size = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(size) // limit
@@ -155,7 +171,10 @@ def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _bucketed(percent: int):
-    """Rows (key, place, doc, n) sorted by key and doc, to candidate pairs and the members of large buckets (b is null)."""
+    """Rows (key, place, doc, n) sorted by key and doc, to candidate pairs and the members of large buckets (b is null).
+
+    A row of a hot key brings the bucket's representative, ``rep`` and ``rep_n``, and needs no other row.
+    """
     names = ["key", "place", "a", "b", "n"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +207,13 @@ def _bucketed(percent: int):
         rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         open_key, reps = None, []
         for batch in batches:
+            if batch["rep"].null_count < len(batch):
+                hot = batch.filter(batch["rep"].is_valid())
+                key, place, doc, n, rep, rep_n = (hot[c].to_numpy() for c in ("key", "place", "doc", "n", "rep", "rep_n"))
+                ok = _near(n, rep_n, percent) & (doc != rep)
+                yield out(key[ok], place[ok], np.minimum(doc, rep)[ok], np.maximum(doc, rep)[ok], n[ok])
+                yield out(key, place, doc, None, n)
+                batch = batch.filter(batch["rep"].is_null())
             rows = [np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "place", "doc", "n"), strict=True)]
             if open_key is not None:  # a large bucket goes on
                 other = np.flatnonzero(rows[0] != open_key)
@@ -216,7 +242,9 @@ def _bucketed(percent: int):
 
 
 def _across(percent: int, best: int = 0):
-    """Members of large buckets, sorted by key and component, to what is to be compared across components.
+    """Members of large buckets, dealt by (key, lo, hi) and sorted by component, to what is to be compared across components.
+
+    Members of block ``lo`` and of block ``hi`` are compared with one another; within a block where both are one.
 
     Without ``best``: rows (a, b) of a node and another component that holds a node like it by
     sketch; the node is the one whose component has fewer nodes in the bucket. A pair counts in the
@@ -239,13 +267,15 @@ def _across(percent: int, best: int = 0):
                 o = others[order]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[o])), pa.array(np.maximum(doc[i], doc[o]))], ["a", "b"])
 
-    def outside(doc, comp, n, sketch, keys, at):
+    def outside(doc, comp, n, sketch, keys, at, block, within):
         edge = np.searchsorted(comp, comp, side="right")
         share = edge - np.searchsorted(comp, comp, side="left")
         for first_row in np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])).tolist():
             met = []  # nodes of later components with fewer nodes here
             for i in range(first_row, int(edge[first_row])):
                 others = np.arange(edge[i], len(doc))
+                if not within:
+                    others = others[block[others] != block[i]]
                 others = others[_near(n[others], n[i], percent)]
                 others = others[(sketch[others] == sketch[i]).mean(axis=1) >= SKETCH_PART]
                 if not len(others):
@@ -269,14 +299,18 @@ def _across(percent: int, best: int = 0):
                 yield from likest(doc, comp, n, sketch)
             else:
                 keys = pc.list_flatten(table["keys"]).to_numpy().reshape(len(doc), 2 * GROUPS)
-                yield from outside(doc, comp, n, sketch, keys, int(table["place"][0].as_py()))
+                lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+                yield from outside(doc, comp, n, sketch, keys, int(table["place"][0].as_py()), table["block"].to_numpy(), lo == hi)
 
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
-            key = table["key"].to_numpy()
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            new = np.zeros(max(0, len(table) - 1), bool)
+            for c in ("key", "lo", "hi"):
+                x = table[c].to_numpy()
+                new |= x[1:] != x[:-1]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 yield from run(table.slice(a, b - a))
             rest = table.slice(edges[-1])
@@ -403,52 +437,82 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
     if clash := {c.lower() for c in df.columns} & {"n_shingles", "component_id", "kept"}:
         raise ValueError(f"columns of these names are added: {sorted(clash)}")
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    marks = cut_lineage(signed(docs, k))
-    nodes = marks.where("n > 0").groupBy("digest").agg(F.min("doc").alias("node"))
-    reps = cut_lineage(
-        marks.where("n > 0").join(nodes, "digest").where("doc = node").dropDuplicates(["doc"]).select("doc", "n", "a", "b", "sketch")
+    with tidied(df.sparkSession) as kept:
+        found = kept(_grouped(docs, k, percent))
+    c, n, d = fresh(df, "comp_", "n_", "d_")
+    found = found.select(F.col("doc").alias(d), F.col("n").alias(n), F.col("comp").alias(c))
+    return (
+        df.join(found, F.col(key).cast("long") == F.col(d), "left")
+        .withColumns({"n_shingles": F.coalesce(F.col(n), F.lit(0)), "component_id": F.col(c), "kept": F.coalesce(F.col(c) == F.col(key).cast("long"), F.lit(True))})
+        .select(*df.columns, "n_shingles", "component_id", "kept")
     )
+
+
+def _keyed(reps: DataFrame) -> DataFrame:
+    """key, place, doc, n of every node in every table; rep and rep_n where the key is hot."""
     table = F.posexplode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
     keyed = reps.select("doc", "n", table.alias("place", "key")).select(F.xxhash64("place", "key").alias("key"), "place", "doc", "n")
-    found = cut_lineage(
-        keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_bucketed(percent), "key long, place int, a long, b long, n long")
+    sample = F.pmod(F.xxhash64(F.lit("hot"), "doc"), F.lit(SAMPLE)) == 0
+    least = max(SEEN, reps.where(sample).count() / HOT)
+    hot = keyed.where(sample).groupBy("key").agg(F.count("*").alias("seen"), F.min(F.struct("doc", "n")).alias("r")).where(F.col("seen") >= least)
+    hot = cut_lineage(hot.select("key", F.col("r.doc").alias("rep"), F.col("r.n").alias("rep_n")))
+    dealt = F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc"))
+    return keyed.join(F.broadcast(hot), "key", "left").repartition(dealt).sortWithinPartitions("key", "doc")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc, n and comp of every document."""
+    marks = cut_lineage(signed(docs, k))
+    some = marks.where("n > 0")
+    nodes = cut_lineage(some.groupBy("digest").agg(F.min("doc").alias("node"), F.count("*").alias("copies")))
+    reps = cut_lineage(
+        some.join(nodes.select("digest", F.col("node").alias("doc")), ["digest", "doc"]).dropDuplicates(["doc"]).select("doc", "n", "a", "b", "sketch")
     )
+    found = cut_lineage(_keyed(reps).mapInArrow(_bucketed(percent), "key long, place int, a long, b long, n long"))
     sketches = reps.select("doc", "sketch")
     first = cut_lineage(confirmed(found.where("b is not null").select("a", "b").distinct(), docs, sketches, k, percent))
     members = found.where("b is null").select("key", "place", F.col("a").alias("doc"), "n")
 
+    def across(rows: DataFrame, best: int) -> DataFrame:
+        signs = sketches if best else reps.select("doc", "sketch", F.concat("a", "b").alias("keys"))
+        return (
+            rows.join(signs, "doc").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "comp", "doc")
+            .mapInArrow(_across(percent, best), "a long, b long")
+        )
+
     def more(links: DataFrame, members: DataFrame, best: int) -> DataFrame:
         comps = cut_lineage(components(links).withColumnRenamed("node", "doc"))
         known = cut_lineage(members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-        signs = sketches if best else reps.select("doc", "sketch", F.concat("a", "b").alias("keys"))
-        across = lambda rows: (
-            rows.join(signs, "doc").repartition("key").sortWithinPartitions("key", "comp", "doc").mapInArrow(_across(percent, best), "a long, b long")
-        )
+        block = lambda total, most: F.pmod(F.xxhash64("doc"), F.ceil(F.col(total) / most)).cast("int")
         if best:
-            mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            return cut_lineage(confirmed(across(known.join(mixed, "key", "left_semi")).distinct(), docs, sketches, k, percent))
+            mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
+            near = known.join(mixed, "key").withColumn("block", block("c", NEIGHBOURS)).withColumns({"lo": F.col("block"), "hi": F.col("block")}).drop("c")
+            return cut_lineage(confirmed(across(near, best).distinct(), docs, sketches, k, percent))
         # the largest component of a bucket stays behind: all nodes outside it are compared with the whole component
         share = known.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-        largest = share.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp", "lo", "hi")).alias("top")).where("comps > 1")
-        top = F.when(F.col("top.c") > SMALL, F.col("top.comp"))
-        largest = largest.select("key", top.alias("top"), F.col("top.lo").alias("lo"), F.col("top.hi").alias("hi"))
+        largest = share.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", "comp", "lo", "hi")).alias("top")).where("comps > 1")
+        has_top = F.col("top.c") > SMALL
+        largest = largest.select(
+            "key", F.when(has_top, F.col("top.comp")).alias("top"), F.col("top.lo").alias("least"), F.col("top.hi").alias("most"),
+            (F.col("c") - F.when(has_top, F.col("top.c")).otherwise(0)).alias("rest"),
+        )
         kept = known.alias("m").join(largest.alias("l"), (F.col("m.key") == F.col("l.key")) & ~F.col("comp").eqNullSafe(F.col("top")))
-        outside = cut_lineage(kept.select("m.key", "place", "doc", "n", "comp", "top", "lo", "hi"))
-        size_fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+        outside = cut_lineage(kept.select("m.key", "place", "doc", "n", "comp", "top", "least", "most", "rest"))
+        size_fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
         wanted = outside.where(F.col("top").isNotNull() & size_fits).select("doc", F.col("top").alias("comp"))
-        wanted = wanted.unionAll(across(outside.select("key", "place", "doc", "n", "comp")).select(F.col("a").alias("doc"), F.col("b").alias("comp")))
+        # each member meets all blocks of its bucket, and so every pair of blocks has a task
+        pairs = outside.withColumn("block", block("rest", PART)).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rest") / PART).cast("int") - 1)))
+        pairs = pairs.select("key", "place", "doc", "n", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        wanted = wanted.unionAll(across(pairs, best).select(F.col("a").alias("doc"), F.col("b").alias("comp")))
         return cut_lineage(against_components(wanted, comps, docs, k, percent))
 
     diagonal = F.col("place") % (GROUPS + 1) == 0
     second = first.unionAll(more(first, members.where(diagonal), best=2))
     all_ = components(second.unionAll(more(second, members, best=0)))
-    c, n, d = fresh(df, "comp_", "n_", "d_")
-    final = (
-        marks.select("doc", "n", "digest").join(nodes, "digest", "left").join(all_, "node", "left")
-        .groupBy(F.col("doc").alias(d)).agg(F.max("n").alias(n), F.min(F.coalesce("comp", "node", "doc")).alias(c))
-    )
-    return (
-        df.join(final, F.col(key).cast("long") == F.col(d), "left")
-        .withColumns({"n_shingles": F.coalesce(F.col(n), F.lit(0)), "component_id": F.col(c), "kept": F.coalesce(F.col(c) == F.col(key).cast("long"), F.lit(True))})
-        .select(*df.columns, "n_shingles", "component_id", "kept")
-    )
+    homes = cut_lineage(nodes.join(all_, "node", "left").select("digest", "copies", F.coalesce("comp", "node").alias("comp")))
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(homes.where(F.col("copies") * HOT >= total).select("digest", "comp"))  # HOT rows at most
+    of = some.select("doc", "n", "digest")
+    rows = of.join(hot, "digest").unionByName(of.join(hot, "digest", "left_anti").join(homes.drop("copies"), "digest")).drop("digest")
+    rows = rows.unionByName(marks.where("n = 0").select("doc", "n", F.col("doc").alias("comp")))
+    return rows.groupBy("doc").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, langid, mixing, neardup, quality, sharding, tokenout, topk, urlfilter
+from pagemill.llm import bpe, chat, common, langid, mixing, neardup, quality, sharding, tokenout, topk, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", "  \n ", "one", "a b", "x " * 40, "same line here\nsame line here\nother", "é ß 漢字 \u00a0 y", "Long " + "word " * 3000]
@@ -218,6 +218,10 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 3)  # so that small groups take the way of large ones
     monkeypatch.setattr(neardup, "REPS", 1)
     monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "PART", 2)
+    monkeypatch.setattr(neardup, "NEIGHBOURS", 4)
+    monkeypatch.setattr(neardup, "SAMPLE", 2)  # so that some keys are hot
+    monkeypatch.setattr(neardup, "SEEN", 3)
     rng = random.Random(6)
     base = [f"w{i}" for i in range(60)]
     texts = list(ODD) + ["One", "w1  W2", "w1 w2"]
@@ -241,18 +245,37 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert all(got[i]["kept"] == (comp[i] == i) for i in got)
+    assert neardup.group(docs(spark, ["x"]).limit(0), k=2).count() == 0
+    with pytest.raises(ValueError):
+        neardup.group(docs(spark, ["x"]).withColumn("Kept", F.lit(1)))
+    twice = neardup.group(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c")], "doc_id long, text string"), k=2).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in twice) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    with common.tidied(spark) as outer:
+        with common.tidied(spark) as kept:
+            b = kept(common.cut_lineage(spark.range(3)))
+            assert len(list(tmp_path.iterdir())) == 2
+        assert b.count() == 3 and len(list(tmp_path.iterdir())) == 1
+        c = outer(b)
+    assert c.count() == 3 and len(list(tmp_path.iterdir())) == 1
 
 
 def test_pairs_whose_sketches_agree_but_not_their_hashes_are_met():
     width, groups, place = 2 * neardup.GROUPS * neardup.MINIMA, neardup.GROUPS, 1 * neardup.GROUPS + 1
     same = list(range(2 * groups))
     other = [-1 if g in (0, groups) else g for g in same]  # the first groups agree in bytes only
-    row = {"key": 1, "place": place, "n": 10, "sketch": bytes(width)}
+    row = {"key": 1, "place": place, "n": 10, "sketch": bytes(width), "lo": 0, "hi": 0, "block": 0}
     batch = pa.RecordBatch.from_pylist([row | {"doc": 1, "comp": 1, "keys": same}, row | {"doc": 2, "comp": 2, "keys": other}])
     got = [(r["a"], r["b"]) for out in neardup._across(80)(iter([batch])) for r in out.to_pylist()]
     assert got == [(1, 2)]
     batch = pa.RecordBatch.from_pylist([row | {"doc": d, "comp": d, "keys": same} for d in (1, 2)])
     assert not [r for out in neardup._across(80)(iter([batch])) for r in out.to_pylist()]  # met at place 0
+    two = [row | {"doc": d, "comp": d, "keys": other if d > 1 else same, "hi": 1, "block": d // 3} for d in (1, 2, 3)]
+    got = [(r["a"], r["b"]) for out in neardup._across(80)(iter([pa.RecordBatch.from_pylist(two)])) for r in out.to_pylist()]
+    assert got == [(1, 3)]  # 1 and 2 are of one block, 2 and 3 agree at place 0
 
 
 def test_nodes_against_components_match_brute_force(spark, monkeypatch):
