@@ -10,12 +10,14 @@ A block holds ``BLOCK_TOKENS`` pre-tokens or a few more, so a task's memory is b
 its partition is; a word comes at most once from a block, so frequent words are no hot keys.
 
 The positions are computed in the pass that makes the lists and again in the pass that is joined
-with them; both read the same rows in the same order if the input is a scan. A block is named by a
-digest of its list, so a difference is seen and raised, never hidden. For other inputs give
+with them; both read the same rows in the same order if the input is a scan. A block is named by its
+input partition, its place there and a digest of its list, so a difference is seen and raised, never
+hidden, and blocks with equal lists stay apart. For other inputs give
 ``stable=False``: they are first written to the checkpoint folder.
 
 Defined results: null and empty text have no ids; repeated rows and null keys are rows of their
-own; an empty table gives an empty table; columns named in ``keep`` pass through.
+own; an empty table gives an empty table; columns named in ``keep`` pass through, and one named like an
+added one raises. A single very long text makes a block of its own size.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, width
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
+#: Words whose ids a task remembers; beyond them it starts anew.
+REMEMBERED = 400_000
 #: Documents whose positions travel in one row.
 PACK = 512
 
@@ -84,13 +89,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array
 
     pattern = regex.compile(public_tokenizers.PATTERN)
     held: list[tuple[pa.RecordBatch, np.ndarray, pa.Array]] = []
-    tokens = 0
+    tokens, nth = 0, count()
 
     def block():
         coded = pa.concat_arrays([x for _, _, x in held]).dictionary_encode()
         words, numbers = coded.dictionary, coded.indices.to_numpy()
         lengths, data = _flat(words)
-        name = xxhash.xxh3_128_digest(lengths.tobytes() + data)
+        name = xxhash.xxh3_128_digest(lengths.tobytes() + data) + b"%d.%d" % (held[0][0]["p_"][0].as_py(), next(nth))
         out, at = [], 0
         for batch, counts, x in held:
             out.append((batch, counts, numbers[at : at + len(x)]))
@@ -132,7 +137,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         *names,
         F.when(odd | F.col("text_").isNull(), F.array().cast("array<string>"))
         .otherwise(F.regexp_extract_all("text_", F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))).alias("tokens_"),
-        F.when(odd, F.col("text_")).alias("odd_"),
+        F.when(odd, F.col("text_")).alias("odd_"), F.spark_partition_id().alias("p_"),
     )
     parts = width(spark)
 
@@ -163,6 +168,8 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 for end in ends:
                     word, at = data[at:end], end
                     if (got := seen.get(word)) is None:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         got = seen[word] = np.array(one(word), "<u4").tobytes()
                     made.append(got)
                 sizes.append(_packed(np.fromiter(map(len, made), np.int64, len(made))))
@@ -211,8 +218,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         return pa.concat_tables(out)
 
     words = cut.mapInArrow(lists, "block binary, home int, numbers binary, lengths binary, words binary")
-    # numbers 0 .. parts - 1 are dealt so that each is a partition's own
-    ids = words.repartition(parts, "home").mapInArrow(merged, "block binary, numbers binary, sizes binary, ids binary")
+    ids = words.repartitionById(parts, F.col("home")).mapInArrow(merged, "block binary, numbers binary, sizes binary, ids binary")
     places = cut.mapInArrow(positions, f"block binary, n_words long, nth long, {key_types}, counts binary, positions binary")
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
     out = places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assembled, f"{types}, n_tokens long, token_ids binary")

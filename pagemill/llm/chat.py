@@ -7,7 +7,9 @@ that trains on assistant turns alone.
 Defined results: turns go by (turn, role, text), nulls first; a null role or text is rendered as
 empty and equals only null; rows without a conversation id belong to no conversation and are left
 out; a pair of which one side is missing has ``status`` ``unpaired``, a null completion there and
-an empty prompt; a pair that never parts has ``identical`` and empty completions. One shuffle by
+an empty prompt; a pair that never parts has ``identical`` and empty completions; of several
+conversations on one side of a pair the one with the smallest id counts; repeated turns are turns of their own; an empty table gives an
+empty table; columns beyond the four named ones are left out. One shuffle by
 pair; a conversation is a row in the end, so it is held whole, and no group beyond it is.
 """
 
@@ -71,9 +73,11 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column, conv: str =
     gathered = rows.groupBy("pair_id").agg(
         F.min(F.when(side(True), F.col("conv"))).alias("chosen_id"),
         F.min(F.when(side(False), F.col("conv"))).alias("rejected_id"),
-        F.sort_array(F.collect_list(F.when(side(True), F.col("t")))).alias("a"),
-        F.sort_array(F.collect_list(F.when(side(False), F.col("t")))).alias("b"),
+        F.sort_array(F.collect_list(F.when(side(True), F.struct("conv", "t")))).alias("a"),
+        F.sort_array(F.collect_list(F.when(side(False), F.struct("conv", "t")))).alias("b"),
     )
+    own = lambda turns: F.transform(F.filter(turns, lambda x: x["conv"] == F.get(turns, F.lit(0))["conv"]), lambda x: x["t"])
+    gathered = gathered.withColumns({c: let(F.col(c), own) for c in "ab"})
     both = (F.size("a") > 0) & (F.size("b") > 0)
     n = F.when(both, common_turns(F.col("a"), F.col("b"))).otherwise(F.lit(0))
 

@@ -10,6 +10,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,16 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_RUN))).cast("long")
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes of a string or binary column; a value is never cut."""
+    size = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(size) // limit
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names near ``names`` that ``df`` does not have yet (compared without case)."""
     taken = {c.lower() for c in df.columns}

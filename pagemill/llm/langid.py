@@ -59,8 +59,9 @@ class Model:
 
 
 def _bare(words: pa.Array) -> pa.Array:
-    """Words in lower case with nothing but letters."""
-    return pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}\p{M}]+", "")
+    """Words in lower case with nothing but letters and the marks on them."""
+    only = pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}\p{M}]+", "")
+    return pc.replace_substring_regex(only, r"^\p{M}+", "")
 
 
 def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +159,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     doc = np.repeat(np.arange(len(counts)), counts)
     sums = np.concatenate([np.zeros((1, l)), np.cumsum(scores, axis=0, dtype=np.float64)])
     best = np.argmax(sums[ends] - sums[starts], axis=1) if len(counts) else np.zeros(0, np.int64)
-    labels = best[doc].astype(np.int8)
+    labels = best[doc].astype(np.int32)
     if not n or l < 2:
         return labels
     # the most that any stretch of words gains by other languages
@@ -176,7 +177,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
         return labels
     hard = hard[np.argsort(-counts[hard], kind="stable")]
     begin, length = starts[hard], counts[hard]
-    back = np.zeros((n, l), np.int8)
+    kind = np.int8 if l < 128 else np.int32
+    back = np.zeros((n, l), kind)
     value = scores[begin].astype(np.float64)
     active = len(hard)
     for t in range(1, int(length[0])):
@@ -186,7 +188,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
         jump = v[np.arange(active), top] - switch
         stay = v >= jump[:, None]
         at = begin[:active] + t
-        back[at] = np.where(stay, np.arange(l, dtype=np.int8), top[:, None])
+        back[at] = np.where(stay, np.arange(l, dtype=kind), top[:, None])
         value[:active] = np.where(stay, v, jump[:, None]) + scores[at]
     state = np.argmax(value, axis=1)
     for t in range(int(length[0]) - 1, -1, -1):

@@ -3,7 +3,8 @@
 Each source has a target: its weight's share of the budget, at most ``max_repeat`` times what it
 holds; what is above goes to the others by weight. Whole passes over a source come first. For the
 budget that remains, documents are counted by exact length; every length first gives its
-proportional part, long lengths then close the gap to a few thousand words, and a bounded-knapsack
+proportional part (the rounding is carried from length to length), long lengths then close the gap to
+a few thousand words, and a bounded-knapsack
 dynamic program over the counts hits the rest as closely as any choice can. Where only documents too
 long for that are left, the program runs over the whole rest, or, where that is too large, the nearest
 sum of the spare documents is taken directly. Per length, documents are selected by seeded hash.
@@ -15,7 +16,8 @@ program sees one source's distinct lengths, never documents. The driver holds on
 
 Defined results: null or blank text has size 0 and takes nothing; a null source is a source of its
 own, last in order; repeated rows are taken one by one; a source without words has target 0; an
-empty table gives an empty table. Reruns agree.
+empty table gives an empty table; columns named like the added ones raise; very long texts count as
+any other. Reruns agree.
 """
 
 from __future__ import annotations
@@ -120,7 +122,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, want: int, span: int = SPAN) ->
         return np.zeros(len(lengths), dtype=np.int64)
     if want >= total:
         return counts.astype(np.int64)
-    part = np.array([int(c) * want // total for c in counts], dtype=np.int64)
+    # every length gives its part of what is wanted less one document of the longest; rounding goes on from
+    # length to length, so that lengths of few documents give theirs in turn, and is never more than that document off
+    order = np.argsort(lengths, kind="stable")
+    upto = [0]
+    for c in counts[order].tolist():
+        upto.append(upto[-1] + int(c))
+    some = max(0, want - int(lengths.max()))
+    part = np.zeros(len(lengths), dtype=np.int64)
+    part[order] = np.diff(np.array([x * some // total for x in upto], dtype=np.int64))
+    off = lambda x: abs(sum(int(a) * int(b) for a, b in zip(lengths, x, strict=True)) - want)
+    found = _fill(lengths, counts, want, part, span)
+    if off(found):  # with few documents those taken already may shut out a better choice
+        found = min(found, _fill(lengths, counts, want, np.array([int(c) * want // total for c in counts], dtype=np.int64), span), key=off)
+    return found
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, want: int, part: np.ndarray, span: int) -> np.ndarray:
+    """``part`` and what is taken beside it for ``want`` words in all."""
     take = part.copy()
     left = want - sum(int(a) * int(b) for a, b in zip(lengths, take, strict=True))
     for i in np.argsort(-lengths, kind="stable"):

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, tidied
+from .common import cut_lineage, fresh, slices, tidied
 
 SHINGLE = 5
 PERCENT = 80
@@ -129,22 +129,12 @@ def collections(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def _steps(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``limit`` bytes of text; a text is never cut."""
-    size = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(size) // limit
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def signed(docs: DataFrame, k: int) -> DataFrame:
     """doc, n, digest, a, b and sketch for the columns ``doc`` and ``text``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _steps(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 sizes, hashes = shingle_sets(batch["text"], k)
                 some = sizes > 0
                 least = minima(sizes[some], hashes) if some.any() else np.zeros((0, len(_A)), np.uint64)
@@ -327,7 +317,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _steps(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 sizes, hashes = shingle_sets(batch["text"], k)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch["doc"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["doc", "set"])

@@ -6,7 +6,8 @@ a text stops at the first rule that rejects it (``CASE`` evaluates lazily). The
 work, never the verdict.
 
 Defined results: null or blank text has no words and is rejected by ``few_words``; ties and
-repeated rows get equal verdicts; an empty table gives an empty table; other columns pass through,
+repeated rows get equal verdicts; an empty table gives an empty table; very long texts are measured
+whole, in one row; other columns pass through,
 and a clash with a measure's name raises ``ValueError``.
 """
 
@@ -30,7 +31,7 @@ MAX_DUP_LINE_PERCENT = 40
 MAX_SYMBOL_PERCENT = 10
 WORD_LENGTH = (2, 14)
 #: Rows on which costs and selectivities are estimated. They set the order of rules only.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 2000
 
 
 def word_chars(text: Column) -> Column:
@@ -126,8 +127,10 @@ def _from_text(text: Column) -> Callable[[str], Column]:
 
 
 def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules by rejections per second on a sample of at most ``sample_rows`` texts, with both figures."""
-    sample = df.select(F.col(text).alias("text")).limit(sample_rows).persist()
+    """Rules by rejections per second on a random sample of about ``sample_rows`` texts of all partitions, with both figures."""
+    texts = df.select(F.col(text).alias("text"))
+    part = min(1.0, sample_rows / max(1, df.select(F.lit(1)).count()))
+    sample = texts.sample(part, seed=1).persist()
     try:
         rows = max(1, sample.count())
 
@@ -145,6 +148,11 @@ def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
             found.append((rule, max(min(t for t, _ in runs) - idle, 1e-4), runs[0][1]))
     finally:
         sample.unpersist()
+    return by_rejections_per_cost(found)
+
+
+def by_rejections_per_cost(found: list[tuple[Rule, float, float]]) -> list[tuple[Rule, float, float]]:
+    """Rules with their cost and the part they reject; of equal ones the cheaper first."""
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 

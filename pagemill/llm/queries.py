@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, mixing, neardup, quality, sharding, tokenout, topk, urlfilter
-from .common import read, scratch
+from .common import read, scratch, width
 
 URL_RULES = [
     urlfilter.UrlRule("com", "/", "allow"),
@@ -50,24 +50,37 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.shard(docs).drop("text")
+    """By id, but for English documents, which share one key: a key far over the limit."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "en").otherwise(F.col("doc_id").cast("string")).alias("key"))
+    return sharding.shard(docs, "key", limit=SHARD_BYTES, row=F.col("doc_id")).drop("text", "key")
+
+
+#: Small enough that every size of the tables needs several shards.
+SHARD_BYTES = 256 << 10
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards as written and read again; ids as a digest."""
-    made = tokenout.sequences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    made, total = tokenout.sequences(read(spark, sf_dir, "documents").select("doc_id", "text"))
     path = scratch(spark, "token_output")
-    tokenout.write(spark, made, path, shards=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tokenout.write(spark, made, total, path, parts=width(spark))
     schema = "slot long, position int, doc_id long, chunk long, n_tokens int, ids binary, shard long"
     written = spark.read.schema(schema).parquet(path)
     return written.select("slot", "shard", "position", "doc_id", "chunk", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations make a pair: the even one is chosen, the odd one rejected."""
-    turns = read(spark, sf_dir, "conversations")
-    return chat.preference_pairs(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
+    """Every conversation is chosen; the rejected one ends in another answer at its last assistant turn.
+
+    Of ids divisible by 7 the rejected one is the same, of those divisible by 5 (not 7) it is missing.
+    """
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where("conv_id is not null")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    other = turns.join(last, "conv_id", "left").where("conv_id % 7 = 0 or (conv_id % 5 <> 0 and (last is null or turn <= last))")
+    text = F.when((F.col("conv_id") % 7 != 0) & (F.col("turn") == F.col("last")), F.concat(F.lit("No. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    both = turns.withColumn("side", F.lit(True)).unionByName(other.withColumns({"text": text, "side": F.lit(False)}).drop("last"))
+    both = both.withColumns({"pair": F.col("conv_id"), "conv_id": 2 * F.col("conv_id") + F.when(F.col("side"), 0).otherwise(1)})
+    return chat.preference_pairs(both, F.col("pair"), F.col("side"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,24 +142,36 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CASE WHEN lang = 'en' THEN 'en' ELSE CAST(doc_id AS VARCHAR) END AS key,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS t FROM documents),
+e AS (SELECT *, CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS h FROM d),
 a AS (
-  SELECT d.*, k, sum(n_bytes) OVER (PARTITION BY k, h >> (60 - k)) AS b, count(*) OVER (PARTITION BY k, h >> (60 - k)) AS r
-  FROM d, range(0, 33) t(k)),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth FROM a WHERE b <= 67108864)
-SELECT doc_id, n_bytes, substr(lpad(to_binary(h), 60, '0'), 1, CAST(k AS INT)) AS shard, CAST(0 AS BIGINT) AS part,
-       CAST(b AS BIGINT) AS shard_bytes, CAST(r AS BIGINT) AS shard_rows
-FROM s WHERE nth = 1
+  SELECT e.*, k, sum(n_bytes) OVER p AS b, count(*) OVER p AS r, min(h) OVER p = max(h) OVER p AS alone
+  FROM e, range(0, 61) t(k) WINDOW p AS (PARTITION BY k, h >> (60 - k))),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth FROM a WHERE b <= 262144 OR alone),
+f AS (SELECT *, substr(lpad(to_binary(h), 60, '0'), 1, CAST(k AS INT)) AS shard, b > 262144 AS over FROM s WHERE nth = 1),
+g AS (SELECT *, t % (2 * CAST(ceil(b / 262144) AS BIGINT)) AS g, n_bytes > 131072 AS big FROM f WHERE over),
+c AS (
+  SELECT *, CASE WHEN big THEN row_number() OVER w
+    ELSE floor((sum(n_bytes) OVER (w ROWS UNBOUNDED PRECEDING) - n_bytes) / (262144 - max(n_bytes) OVER (PARTITION BY shard, g, big))) END AS cut
+  FROM g WINDOW w AS (PARTITION BY shard, g, big ORDER BY t, n_bytes)),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY shard ORDER BY g, big, cut) - 1 AS part FROM c)
+SELECT doc_id, n_bytes, shard, CAST(part AS BIGINT) AS part, CAST(sum(n_bytes) OVER (PARTITION BY shard, part) AS BIGINT) AS shard_bytes,
+       CAST(count(*) OVER (PARTITION BY shard, part) AS BIGINT) AS shard_rows FROM n
+UNION ALL SELECT doc_id, n_bytes, shard, 0, CAST(b AS BIGINT), CAST(r AS BIGINT) FROM f WHERE NOT over
 """
 
 OP9_SQL = r"""
-WITH t AS (
-  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+WITH c AS (SELECT conv_id, turn, role, text, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM c GROUP BY conv_id),
+o AS (
+  SELECT conv_id, turn, role, CASE WHEN conv_id % 7 <> 0 AND turn = last THEN 'No. ' || coalesce(text, '') ELSE text END AS text
+  FROM c WHERE conv_id % 7 = 0 OR (conv_id % 5 <> 0 AND (last IS NULL OR turn <= last))),
+u AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM o GROUP BY conv_id),
 p AS (
-  SELECT coalesce(a.conv_id, b.conv_id - 1) // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.ts AS a, b.ts AS b
-  FROM (SELECT * FROM t WHERE conv_id % 2 = 0) a FULL JOIN (SELECT * FROM t WHERE conv_id % 2 = 1) b ON b.conv_id = a.conv_id + 1),
+  SELECT conv_id AS pair_id, 2 * conv_id AS chosen_id, CASE WHEN u.ts IS NOT NULL THEN 2 * conv_id + 1 END AS rejected_id, t.ts AS a, u.ts AS b FROM t LEFT JOIN u USING (conv_id)),
 n AS (
   SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce(
     list_min(list_filter(range(1, least(len(a), len(b)) + 1),

@@ -6,12 +6,16 @@ from one aggregation over slots of a fixed number of bits (a few times as many s
 the splitting works on counts, not on rows; slots that are still too large get more bits in another
 pass over their rows alone.
 
-A bucket with a single key cannot be split by hashing. If it is over the limit (one huge row, or a
-key that very many rows share), its rows are dealt into ``part`` 0, 1, ... in the order of input
-partitions, each within the limit unless one row alone is above it; bytes and rows are then a part's.
+A bucket with a single key cannot be split by the key's hash. If it is over the limit (one huge row,
+or a key that very many rows share), a hash of the whole row (``row``) deals its rows to about twice as
+many groups as shards are needed; a group that is still too large is cut in the order of the row's hash.
+The parts are numbered 0, 1, ... within the shard, each within the limit unless one row alone is above
+it; bytes and rows are then a part's. Reruns agree, however the input is partitioned. Rows over half the
+limit are parts of their own. Rows equal in all columns are of one group.
 
 Defined results: null text has no bytes; null keys hash as one key of their own; repeated rows with
-one key share a shard; an empty table gives no shard; other columns pass through.
+one key share a shard; an empty table gives no shard; other columns pass through, and one named like an
+added one raises.
 """
 
 from __future__ import annotations
@@ -62,12 +66,16 @@ def _directory(rows: DataFrame, start: int, bits: int, limit: int) -> DataFrame:
     return best.select("slot", F.coalesce("s.depth", F.lit(-1)).alias("depth"), F.col("s.bytes").alias("bytes"), F.col("s.rows").alias("rows"), F.col("s.over").alias("over"))
 
 
-def shard(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = LIMIT) -> DataFrame:
-    """``df`` with n_bytes, shard (its bits as text, empty for the whole table), part, shard_bytes, shard_rows."""
+def shard(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = LIMIT, row: Column | None = None) -> DataFrame:
+    """``df`` with n_bytes, shard (its bits as text, empty for the whole table), part, shard_bytes, shard_rows.
+
+    ``row``: what tells the rows of one key apart; by default all columns.
+    """
     if clash := {c.lower() for c in df.columns} & {"n_bytes", "shard", "part", "shard_bytes", "shard_rows"}:
         raise ValueError(f"columns of these names are added: {sorted(clash)}")
     size = F.octet_length("text") if size is None else size
-    h, found, pid = fresh(df, "h_", "found_", "pid_")
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}) if row is None else row
+    h, found, group, tie, big = fresh(df, "h_", "found_", "group_", "tie_", "big_")
     narrow = df.select(key_hash(F.col(key)).alias("h"), F.coalesce(size, F.lit(0)).cast("long").alias("b"))
     total = narrow.agg(F.sum("b").alias("b")).first()["b"] or 0
     out = df.withColumns({"n_bytes": F.coalesce(size, F.lit(0)).cast("long"), h: key_hash(F.col(key))})
@@ -98,15 +106,18 @@ def shard(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit:
     }).drop(*[f"{found}{i}" for i in range(len(steps))])
     if not any_over:
         return out.withColumn("part", F.lit(0).cast("long")).drop(h, found)
-    # single keys over the limit: running bytes within each input partition, never over the whole group
+    # single keys over the limit: running bytes within small groups by the row's hash, never over the whole key
     fine = out.where(~F.col(found)).withColumn("part", F.lit(0).cast("long")).drop(h, found)
-    # (a row over half the limit is a part of its own; the others begin within the limit less their largest)
-    deep = out.where(F.col(found)).withColumn(pid, F.spark_partition_id()).withColumn(h, F.col("n_bytes") > F.lit(limit // 2))
-    group = Window.partitionBy("shard", pid, h)
-    w = group.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begins = F.floor((F.sum("n_bytes").over(w) - F.col("n_bytes")) / (F.lit(limit) - F.max("n_bytes").over(group)))
-    at = F.when(F.col(h), 2 * F.row_number().over(group.orderBy(key)).cast("long") + 1).otherwise(2 * begins)
-    deep = deep.withColumn("part", F.col(pid).cast("long") * F.lit(1 << 32) + at)
-    part = Window.partitionBy("shard", "part")
-    deep = deep.withColumns({"shard_bytes": F.sum("n_bytes").over(part), "shard_rows": F.count("*").over(part)})
-    return fine.unionByName(deep.drop(h, found, pid))
+    groups = 2 * F.ceil(F.col("shard_bytes") / F.lit(limit)).cast("long")
+    deep = out.where(F.col(found)).withColumn(tie, key_hash(row)).withColumns({group: F.pmod(F.col(tie), groups), big: F.col("n_bytes") > F.lit(limit // 2)})
+    # (rows that are no parts of their own begin within the limit less their group's largest)
+    one = Window.partitionBy("shard", h, group, big)
+    w = one.orderBy(tie, "n_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.floor((F.sum("n_bytes").over(w) - F.col("n_bytes")) / (F.lit(limit) - F.max("n_bytes").over(one)))
+    at = F.when(F.col(big), F.row_number().over(one.orderBy(tie, "n_bytes"))).otherwise(begins).cast("long")
+    deep = deep.withColumn("part", at)
+    (b_, r_), per = fresh(df, "bytes_", "rows_"), ["shard", group, big, "part"]
+    parts = deep.groupBy(*per).agg(F.sum("n_bytes").alias(b_), F.count("*").alias(r_))
+    parts = parts.withColumn(found, F.row_number().over(Window.partitionBy("shard").orderBy(group, big, "part")).cast("long") - 1)
+    deep = deep.drop(found, "shard_bytes", "shard_rows").join(parts, per).drop("part").withColumnsRenamed({found: "part", b_: "shard_bytes", r_: "shard_rows"})
+    return fine.unionByName(deep.select(*fine.columns))

@@ -40,6 +40,11 @@ def test_cascade_filters_by_its_rules(spark):
     good = "These are thirty words of clean prose " + " ".join(f"word{i}" for i in range(30))
     kept = quality.keep(docs(spark, [good, "too short", good.upper(), "a### b$$$ " * 20, None])).collect()
     assert [r["doc_id"] for r in kept] == [0]
+    a, b, c = (quality.Rule(n, None) for n in "abc")
+    order = quality.by_rejections_per_cost([(a, 2.0, 0.5), (b, 0.5, 0.2), (c, 4.0, 0.0)])
+    assert [r.name for r, _, _ in order] == ["b", "a", "c"]
+    got = quality.report(docs(spark, ["a#b $ c\n x\na#b $ c\n x\n\n x"])).first()
+    assert got["n_symbols"] == 4 and got["n_dup_lines"] == 3 and got["n_lines"] == 5
 
 
 def test_url_cascade_is_exact(spark):
@@ -75,6 +80,20 @@ def test_shards_fit_their_limit(spark):
     parts = sharding.shard(same, limit=600).groupBy("shard", "part").agg(F.sum("n_bytes").alias("b")).collect()
     assert sum(p["b"] for p in parts) == 5000 and max(p["b"] for p in parts) <= 700
     assert sharding.shard(same.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard(same.withColumn("Part", F.lit(0)))
+
+
+def test_parts_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(7 if i % 3 else i, i, "z" * rng.randint(0, 250)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, n long, text string")
+    runs = [sorted((r["n"], r["shard"], r["part"], r["shard_bytes"], r["shard_rows"]) for r in sharding.shard(frame.repartition(p), limit=600).collect()) for p in (1, 6)]
+    assert runs[0] == runs[1] and len(runs[0]) == 400
+    hot = {r[1] for r in runs[0] if rows[r[0]][0] == 7}
+    assert len(hot) == 1
+    parts = {r[2] for r in runs[0] if r[1] in hot}
+    assert parts == set(range(len(parts))) and len(parts) > 20
 
 
 def test_parts_of_one_key_fit_their_limit(spark):
@@ -97,6 +116,11 @@ def test_preference_pairs(spark):
     assert got[0]["prompt"] == "<|im_start|>user\nhi<|im_end|>\n" and got[0]["chosen"] == "<|im_start|>assistant\na<|im_end|>\n" and got[0]["chosen_mask"] == "22:0,12:1"
     assert got[1]["status"] == "unpaired" and got[1]["rejected"] is None
     assert got[2]["status"] == "identical" and got[2]["chosen"] == "" and len(got) == 3
+    rows = [(0, 0, "user", "hi"), (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (3, 0, "user", "other"), (3, 1, "assistant", "c")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (one,) = chat.preference_pairs(turns, F.lit(0), F.col("conv_id") == 0).collect()  # 1 and 3 are on one side
+    assert (one["rejected_id"], one["n_prompt_turns"], one["rejected"]) == (1, 1, "") and one["chosen"].count("<|im_start|>") == 2
+    assert chat.preference_pairs(turns.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
 def test_knapsack_against_all_subsets():
@@ -148,6 +172,21 @@ def test_mix_meets_targets_and_repeats(spark):
     assert same.agg(F.sum(F.col("copies") * 2)).first()[0] <= 40
     assert mixing.mix(docs(spark, ["x"]).limit(0)).count() == 0
     assert mixing.water_fill([10, 100], [3, 1], 165, 2) == [20, 145]
+    with pytest.raises(ValueError):
+        mixing.mix(docs(spark, ["x"]).withColumn("Size", F.lit(1)))
+    # distinct lengths: short and long ones are taken alike
+    lengths = np.arange(1, 1001)
+    take = mixing.fit(lengths, np.ones(1000, np.int64), 250_000)
+    assert int((take * lengths).sum()) == 250_000 and 0.4 < take[:500].mean() < 0.6 and 0.4 < take[500:].mean() < 0.6
+
+
+def test_mix_expands_copies(spark):
+    frame = docs(spark, ["w " * (i % 5) for i in range(30)], ["ab"[i % 2] for i in range(30)])
+    mixed = mixing.mix(frame)
+    out = mixing.expand(mixed)
+    assert out.columns == frame.columns
+    want = {r["doc_id"]: r["copies"] for r in mixed.collect() if r["copies"]}
+    assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
 
 
 def test_top_k_is_exact(spark):
@@ -173,6 +212,28 @@ def test_bpe_equals_the_library_and_round_trips(spark, monkeypatch):
         assert np.frombuffer(r["token_ids"], "<u4").tolist() == enc.encode_ordinary(t) and r["n_tokens"] == len(enc.encode_ordinary(t))
         assert bytes(r["decoded"]).decode() == t
     assert bpe.encode(docs(spark, ["x"]).limit(0), stable=False).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(frame.withColumn("n_tokens", F.lit(1)), keep=("doc_id", "n_tokens"))
+
+
+def test_bpe_of_files_and_its_ids_as_token_output(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    texts = [*ODD, "some words that come again and again", *["some words that come again and again"] * 4]
+    docs(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs(spark, texts).coalesce(1).write.mode("append").parquet(f"{tmp_path}/one")  # two equal files
+    encoded = bpe.encode(spark.read.parquet(f"{tmp_path}/one"))
+    enc = bpe._encoding(bpe.public_tokenizers.path(bpe.RANKS))
+    rows = encoded.collect()
+    assert len(rows) == 2 * len(texts)
+    assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == enc.encode_ordinary(texts[r["doc_id"]] or "") for r in rows)
+    encoded.dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/ids")
+    made, total = tokenout.sequences(spark.read.parquet(f"{tmp_path}/ids"), "token_ids", length=8, stride=16)
+    tokenout.write(spark, made, total, f"{tmp_path}/out", parts=3, stride=16)
+    whole = {}
+    for r in sorted(tokenout.resume(spark, f"{tmp_path}/out", 0, 16).collect(), key=lambda r: (r["doc_id"], r["chunk"])):
+        whole.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4")[: r["n_tokens"]].tolist())
+    assert whole == {i: [*enc.encode_ordinary(t or ""), 2**32 - 2] for i, t in enumerate(texts)}
 
 
 def test_viterbi_against_all_paths():
@@ -195,6 +256,13 @@ def test_language_and_spans(spark):
     got = {r["id"]: r for r in langid.predict(spark.createDataFrame(asked, "id long, text string"), model, spans=True).collect()}
     assert [got[i]["lang_pred"] for i in range(5)] == ["en", "fr", "und", "und", "fr"]
     assert [(s["start"], s["end"], s["lang"]) for s in got[4]["spans"]] == [(0, 16, "en"), (16, 40, "fr")]
+    marks = langid.predict(spark.createDataFrame([(0, "\u0301\u0308 \u0301"), (1, "\u0301 " + en)], "id long, text string"), model).orderBy("id").collect()
+    assert [(r["lang_pred"], r["score"]) for r in marks] == [("und", 0.0), ("en", 1.0)]
+    assert langid.predict(spark.createDataFrame([], "id long, text string"), model).count() == 0
+    with pytest.raises(ValueError):
+        langid.predict(spark.createDataFrame([], "id long, text string, Score int"), model)
+    many = langid.viterbi(np.eye(200)[[150] * 4 + [190] * 4] * 9.0, np.array([8]), 1.0)
+    assert many.tolist() == [150] * 4 + [190] * 4
     none = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert langid.predict(spark.createDataFrame(asked, "id long, text string"), none).first()["lang_pred"] == "und"
 
@@ -203,8 +271,8 @@ def test_feistel_is_a_permutation_and_shards_resume(spark, tmp_path):
     for n in (1, 2, 3, 1000, 4097):
         assert sorted(tokenout.feistel(np.arange(n), n).tolist()) == list(range(n))
     texts = ["abc" * i for i in range(40)] + [None, ""]
-    made = tokenout.sequences(docs(spark, texts), length=16, stride=10, stable=False)
-    tokenout.write(spark, made, str(tmp_path / "t"), shards=4)
+    made, total = tokenout.sequences(docs(spark, texts), length=16, stride=10, stable=False)
+    tokenout.write(spark, made, total, str(tmp_path / "t"), parts=4, stride=10)
     rows = tokenout.resume(spark, str(tmp_path / "t"), 0, 10).orderBy("slot").collect()
     assert [r["slot"] for r in rows] == list(range(len(rows)))
     whole = {}
@@ -212,6 +280,28 @@ def test_feistel_is_a_permutation_and_shards_resume(spark, tmp_path):
         whole.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]].tolist())
     assert all(whole[i] == [*(t or "").encode(), tokenout.END] for i, t in enumerate(texts))
     assert tokenout.resume(spark, str(tmp_path / "t"), 25, 10).count() == len(rows) - 25
+    none, n = tokenout.sequences(docs(spark, ["x"]).limit(0), stable=False)
+    assert n == 0 and none.count() == 0
+    with pytest.raises(ValueError):
+        tokenout.sequences(docs(spark, ["x"]).withColumnRenamed("doc_id", "slot"), key="slot")
+
+
+def test_slots_of_a_file_whose_rows_are_all_in_one_partition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenout, "BATCH", 7)
+    monkeypatch.setattr(tokenout, "SLICE", 100)
+    texts = ["abc" * (i % 40) for i in range(3000)] + [None, "long " * 3000]
+    docs(spark, texts).coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # one row group is read by one of many tasks
+    try:
+        for stable in (True, False):
+            made, total = tokenout.sequences(spark.read.parquet(f"{tmp_path}/in"), length=32, stride=50, stable=stable)
+            out = f"{tmp_path}/out{stable}"
+            tokenout.write(spark, made, total, out, parts=5, stride=50)
+            rows = spark.read.parquet(out).select("slot", "doc_id", "n_tokens").collect()
+            assert sorted(r["slot"] for r in rows) == list(range(total))
+            assert sum(r["n_tokens"] for r in rows) == sum(len(t or "") + 1 for t in texts)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
