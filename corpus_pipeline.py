@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, langid, mixing, neardup, quality
-from pagemill.llm.common import cut_lineage, read
+from pagemill.llm.common import cut_lineage, read, tidied
 
 #: A text needs a language, and most of its words in it.
 LEAST_SCORE = 0.5
@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are mostly of one language; texts without letters go."""
-    found = langid.predict(docs, langid.train(docs))
+    model = langid.train(docs.where(langid.learnable(F.col("doc_id"), F.col("lang"))))
+    found = langid.predict(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
@@ -57,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    with tidied(spark) as kept:
+        for i, (_, stage) in enumerate(STAGES):
+            write = kept if i == len(STAGES) - 1 else cut_lineage
+            docs = write(stage(spark, docs, sf_dir))
     return docs
