@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, width
+from .common import cut_lineage, released, width
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 2_000_000
@@ -217,9 +217,9 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             out.append(pa.Table.from_arrays([*keys, pa.array(np.diff(edges).astype(np.int64) // 4), ids], [*names, "n_tokens", "token_ids"]))
         return pa.concat_tables(out)
 
-    words = cut.mapInArrow(lists, "block binary, home int, numbers binary, lengths binary, words binary")
-    ids = words.repartitionById(parts, F.col("home")).mapInArrow(merged, "block binary, numbers binary, sizes binary, ids binary")
-    places = cut.mapInArrow(positions, f"block binary, n_words long, nth long, {key_types}, counts binary, positions binary")
+    words = cut.mapInArrow(released(lists), "block binary, home int, numbers binary, lengths binary, words binary")
+    ids = words.repartitionById(parts, F.col("home")).mapInArrow(released(merged), "block binary, numbers binary, sizes binary, ids binary")
+    places = cut.mapInArrow(released(positions), f"block binary, n_words long, nth long, {key_types}, counts binary, positions binary")
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
     out = places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assembled, f"{types}, n_tokens long, token_ids binary")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_tokens", "token_ids")
@@ -246,4 +246,4 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> Da
                 out = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(edges), got.buffers()[2] or pa.py_buffer(b"")])
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(joined, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return df.mapInArrow(released(joined), T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))

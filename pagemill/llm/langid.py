@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 #: About so many labelled rows of each language are learned from.
 SAMPLE = 1500
 BUCKETS = 1 << 16
@@ -127,7 +129,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([l] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": mine[at]})
 
-    counts = chosen.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(counted, "lang string, bucket int, n long")
+    counts = chosen.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(released(counted), "lang string, bucket int, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
     langs = [l for l in langs if l in set(found["lang"].to_pylist())]
     table = np.zeros((len(langs), BUCKETS + len(NAMES)))
@@ -258,7 +260,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", switch: float = SWI
                     new = [pa.array(["und"] * (b - a), pa.string()), pa.array(np.zeros(b - a))] + [pa.nulls(b - a, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))] * spans
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(released(each), schema)
 
 
 def learnable(key: Column, lang: Column) -> Column:

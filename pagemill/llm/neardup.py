@@ -8,13 +8,16 @@ with a probability of 9e-5, those of 0.85 with 3e-6.
 * Round one: in each bucket of up to ``SMALL`` nodes all pairs are candidates, in a larger one every
   node with the bucket's first ``REPS`` (one). Set sizes and a sketch (a byte of every minimum) drop
   pairs far below the threshold; the others are confirmed on full sets.
-* Round two takes large buckets that still hold several components, in 14 of the tables: each node
-  outside the largest component meets its two likest nodes (by sketch) of other components, among
-  ``NEIGHBOURS`` or so of the bucket's nodes that a hash deals together.
-* Round three is the exact way for large buckets that still hold nodes of several components. It
+* The later rounds take the nodes of large buckets. A table's key is a hash of either collection, so
+  nodes that share a table share a hash of the first one: its 14 hashes deal a node to 14 wider buckets
+  that stand for all 196 tables.
+* Round two, in wide buckets that still hold several components: each node outside the largest
+  component meets its two likest nodes (by sketch) of other components, among ``NEIGHBOURS`` or so of
+  the bucket's nodes that a hash deals together.
+* Round three is the exact way for wide buckets that still hold nodes of several components. It
   makes rows (node, component): of every node outside the bucket's largest component (of more than
-  ``SMALL`` nodes) and that component, and, where sketches are alike, of the nodes outside it among
-  themselves, in pairs of blocks of about ``PART`` nodes, a task each. Each such node is then compared
+  ``SMALL`` nodes) and that component, and, where sketches are alike and a table is shared, of the nodes
+  outside it among themselves, in pairs of blocks of about ``PART`` nodes, a task each. Each such node is then compared
   with the whole component on full sets, in blocks of about ``BLOCK``. No group emits its pairs, and
   no link between components is lost.
 * Components come from alternating large and small stars over written tables.
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, slices, tidied
+from .common import cut_lineage, fresh, released, slices, tidied
 
 SHINGLE = 5
 PERCENT = 80
@@ -152,7 +155,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     ["doc", "n", "digest", "a", "b", "sketch"],
                 )
 
-    return docs.mapInArrow(each, "doc long, n long, digest binary, a array<long>, b array<long>, sketch binary")
+    return docs.mapInArrow(released(each), "doc long, n long, digest binary, a array<long>, b array<long>, sketch binary")
 
 
 def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -161,23 +164,23 @@ def _near(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _bucketed(percent: int):
-    """Rows (key, place, doc, n) sorted by key and doc, to candidate pairs and the members of large buckets (b is null).
+    """Rows (key, doc, n) sorted by key and doc, to candidate pairs and the members of large buckets (b is null).
 
     A row of a hot key brings the bucket's representative, ``rep`` and ``rep_n``, and needs no other row.
     """
-    names = ["key", "place", "a", "b", "n"]
+    names = ["a", "b", "n"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, place, a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(n)], names)
+        def out(a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(n)], names)
 
-        def large(key, place, doc, n, reps):
+        def large(_, doc, n, reps):
             for r, m in reps:
                 ok = _near(n, np.full(len(n), m), percent) & (doc > r)
-                yield out(key[ok], place[ok], np.full(int(ok.sum()), r), doc[ok], n[ok])
-            yield out(key, place, doc, None, n)
+                yield out(np.full(int(ok.sum()), r), doc[ok], n[ok])
+            yield out(doc, None, n)
 
-        def closed(key, place, doc, n):
+        def closed(key, doc, n):
             """Whole buckets."""
             if not len(key):
                 return
@@ -189,22 +192,22 @@ def _bucketed(percent: int):
                 if not ok.any():
                     break
                 at = np.flatnonzero(ok & _near(n[s:], n[:-s], percent))
-                yield out(key[at], place[at], doc[at], doc[at + s], n[at])
+                yield out(doc[at], doc[at + s], n[at])
             for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                rows = [x[start : start + size] for x in (key, place, doc, n)]
-                yield from large(*rows, list(zip(rows[2][:REPS].tolist(), rows[3][:REPS].tolist(), strict=True)))
+                rows = [x[start : start + size] for x in (key, doc, n)]
+                yield from large(*rows, list(zip(rows[1][:REPS].tolist(), rows[2][:REPS].tolist(), strict=True)))
 
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        rest = [np.zeros(0, np.int64)] * 3
         open_key, reps = None, []
         for batch in batches:
             if batch["rep"].null_count < len(batch):
                 hot = batch.filter(batch["rep"].is_valid())
-                key, place, doc, n, rep, rep_n = (hot[c].to_numpy() for c in ("key", "place", "doc", "n", "rep", "rep_n"))
+                doc, n, rep, rep_n = (hot[c].to_numpy() for c in ("doc", "n", "rep", "rep_n"))
                 ok = _near(n, rep_n, percent) & (doc != rep)
-                yield out(key[ok], place[ok], np.minimum(doc, rep)[ok], np.maximum(doc, rep)[ok], n[ok])
-                yield out(key, place, doc, None, n)
+                yield out(np.minimum(doc, rep)[ok], np.maximum(doc, rep)[ok], n[ok])
+                yield out(doc, None, n)
                 batch = batch.filter(batch["rep"].is_null())
-            rows = [np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "place", "doc", "n"), strict=True)]
+            rows = [np.concatenate([r, batch[c].to_numpy()]) for r, c in zip(rest, ("key", "doc", "n"), strict=True)]
             if open_key is not None:  # a large bucket goes on
                 other = np.flatnonzero(rows[0] != open_key)
                 end = int(other[0]) if len(other) else len(rows[0])
@@ -223,7 +226,7 @@ def _bucketed(percent: int):
             rest = [r[last:] for r in rows]
             if len(rest[0]) > SMALL:
                 open_key = rest[0][-1]
-                reps = list(zip(rest[2][:REPS].tolist(), rest[3][:REPS].tolist(), strict=True))
+                reps = list(zip(rest[1][:REPS].tolist(), rest[2][:REPS].tolist(), strict=True))
                 yield from large(*rest, reps)
                 rest = [r[:0] for r in rest]
         yield from closed(*rest)
@@ -232,14 +235,14 @@ def _bucketed(percent: int):
 
 
 def _across(percent: int, best: int = 0):
-    """Members of large buckets, dealt by (key, lo, hi) and sorted by component, to what is to be compared across components.
+    """Members of wide buckets, dealt by (key, lo, hi) and sorted by component, to what is to be compared across components.
 
     Members of block ``lo`` and of block ``hi`` are compared with one another; within a block where both are one.
 
     Without ``best``: rows (a, b) of a node and another component that holds a node like it by
-    sketch; the node is the one whose component has fewer nodes in the bucket. A pair counts in the
-    bucket of the first group of either collection in which its hashes (``keys``, whole) agree, so in
-    one only, and that is a bucket which holds both.
+    sketch; the node is the one whose component has fewer nodes in the bucket. A pair counts if it
+    agrees in a hash of either collection (``keys``, whole), in the bucket of the first one of the
+    first collection in which it does, so in one only, and that is a bucket which holds both.
     ``best``: pairs of nodes, so many for a node, the likest by sketch, from nodes that are not in
     the bucket's largest component.
     """
@@ -271,8 +274,7 @@ def _across(percent: int, best: int = 0):
                 if not len(others):
                     continue
                 same = keys[others] == keys[i]
-                first = same[:, :GROUPS].argmax(axis=1) * GROUPS + same[:, GROUPS:].argmax(axis=1)
-                others = others[first == at]
+                others = others[(same[:, :GROUPS].argmax(axis=1) == at) & same[:, GROUPS:].any(axis=1)]
                 fewer = share[others] < share[i]
                 met = np.union1d(met, others[fewer]).astype(np.int64)
                 comps = np.unique(comp[others[~fewer]])
@@ -323,7 +325,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["doc", "set"])
 
     texts = docs.join(F.broadcast(nodes) if few else nodes, "doc", "left_semi")
-    return cut_lineage(texts.mapInArrow(sets, "doc long, set array<long>"))
+    return cut_lineage(texts.mapInArrow(released(sets), "doc long, set array<long>"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
@@ -336,7 +338,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, pe
             yield batch.filter(pa.array((x == y).mean(axis=1) >= SKETCH_PART)).select(["a", "b"])
 
     left, right = (sketches.select(F.col("doc").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    close = cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
+    close = cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(released(alike), "a long, b long"))
     full = full_sets(close.select(F.explode(F.array("a", "b")).alias("doc")), docs, k)
     left, right = (full.select(F.col("doc").alias(c), F.col("set").alias(f"x{c}")) for c in "ab")
     both = F.size(F.array_intersect("xa", "xb"))
@@ -400,7 +402,7 @@ def against_components(wanted: DataFrame, comps: DataFrame, docs: DataFrame, k:
     return (
         dealt(wanted, 1, "chunks", "blocks").unionByName(dealt(inside, 0, "blocks", "chunks")).join(sets, "doc")
         .repartition("comp", "chunk", "block").sortWithinPartitions("comp", "chunk", "block", "role", "doc")
-        .mapInArrow(_compared(percent), "a long, b long")
+        .mapInArrow(released(_compared(percent)), "a long, b long")
     )
 
 
@@ -439,9 +441,9 @@ def group(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHING
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
-    """key, place, doc, n of every node in every table; rep and rep_n where the key is hot."""
-    table = F.posexplode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
-    keyed = reps.select("doc", "n", table.alias("place", "key")).select(F.xxhash64("place", "key").alias("key"), "place", "doc", "n")
+    """key, doc, n of every node in every table; rep and rep_n where the key is hot."""
+    table = F.explode(F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y)))))
+    keyed = reps.select(table.alias("key"), "doc", "n")
     sample = F.pmod(F.xxhash64(F.lit("hot"), "doc"), F.lit(SAMPLE)) == 0
     least = max(SEEN, reps.where(sample).count() / HOT)
     hot = keyed.where(sample).groupBy("key").agg(F.count("*").alias("seen"), F.min(F.struct("doc", "n")).alias("r")).where(F.col("seen") >= least)
@@ -458,21 +460,23 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     reps = cut_lineage(
         some.join(nodes.select("digest", F.col("node").alias("doc")), ["digest", "doc"]).dropDuplicates(["doc"]).select("doc", "n", "a", "b", "sketch")
     )
-    found = cut_lineage(_keyed(reps).mapInArrow(_bucketed(percent), "key long, place int, a long, b long, n long"))
+    found = cut_lineage(_keyed(reps).mapInArrow(released(_bucketed(percent)), "a long, b long, n long"))
     sketches = reps.select("doc", "sketch")
     first = cut_lineage(confirmed(found.where("b is not null").select("a", "b").distinct(), docs, sketches, k, percent))
-    members = found.where("b is null").select("key", "place", F.col("a").alias("doc"), "n")
+    members = cut_lineage(reps.join(found.where("b is null").select(F.col("a").alias("doc")).distinct(), "doc", "left_semi"))
 
     def across(rows: DataFrame, best: int) -> DataFrame:
-        signs = sketches if best else reps.select("doc", "sketch", F.concat("a", "b").alias("keys"))
+        signs = members.select("doc", "sketch") if best else members.select("doc", "sketch", F.concat("a", "b").alias("keys"))
         return (
             rows.join(signs, "doc").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "comp", "doc")
-            .mapInArrow(_across(percent, best), "a long, b long")
+            .mapInArrow(released(_across(percent, best)), "a long, b long")
         )
 
-    def more(links: DataFrame, members: DataFrame, best: int) -> DataFrame:
+    def more(links: DataFrame, best: int) -> DataFrame:
         comps = cut_lineage(components(links).withColumnRenamed("node", "doc"))
-        known = cut_lineage(members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+        known = members.select("doc", "n", "a").join(comps, "doc", "left")
+        known = known.select("doc", "n", F.coalesce("comp", "doc").alias("comp"), F.posexplode("a").alias("place", "hash"))
+        known = cut_lineage(known.select(F.xxhash64("place", "hash").alias("key"), "place", "doc", "n", "comp"))
         block = lambda total, most: F.pmod(F.xxhash64("doc"), F.ceil(F.col(total) / most)).cast("int")
         if best:
             mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
@@ -496,9 +500,8 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         wanted = wanted.unionAll(across(pairs, best).select(F.col("a").alias("doc"), F.col("b").alias("comp")))
         return cut_lineage(against_components(wanted, comps, docs, k, percent))
 
-    diagonal = F.col("place") % (GROUPS + 1) == 0
-    second = first.unionAll(more(first, members.where(diagonal), best=2))
-    all_ = components(second.unionAll(more(second, members, best=0)))
+    second = first.unionAll(more(first, best=2))
+    all_ = components(second.unionAll(more(second, best=0)))
     homes = cut_lineage(nodes.join(all_, "node", "left").select("digest", "copies", F.coalesce("comp", "node").alias("comp")))
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     hot = F.broadcast(homes.where(F.col("copies") * HOT >= total).select("digest", "comp"))  # HOT rows at most

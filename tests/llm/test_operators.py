@@ -354,7 +354,7 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
 
 
 def test_pairs_whose_sketches_agree_but_not_their_hashes_are_met():
-    width, groups, place = 2 * neardup.GROUPS * neardup.MINIMA, neardup.GROUPS, 1 * neardup.GROUPS + 1
+    width, groups, place = 2 * neardup.GROUPS * neardup.MINIMA, neardup.GROUPS, 1
     same = list(range(2 * groups))
     other = [-1 if g in (0, groups) else g for g in same]  # the first groups agree in bytes only
     row = {"key": 1, "place": place, "n": 10, "sketch": bytes(width), "lo": 0, "hi": 0, "block": 0}
