@@ -115,14 +115,57 @@ def nav_route(route: Column, is_index: Column) -> Column:
     return F.when(F.coalesce(is_index, F.lit(False)), F.when(folder == "", F.lit("/")).otherwise(folder)).otherwise(route)
 
 
-def page_url(route: Column, locale: Column, default: Column, address: Column, base: Column, trailing_slash: Column) -> Column:
-    """On the site's address if it has one, else under its base path; other locales are prefixed."""
+def localized(route: Column, locale: Column, default: Column) -> Column:
+    """The path of a route in a language: other languages than the default are prefixed."""
     prefixed = locale.isNotNull() & default.isNotNull() & (locale != default)
-    shown = F.concat(F.when(prefixed, F.concat(F.lit("/"), locale)).otherwise(F.lit("")), F.when(route == "/", F.lit("")).otherwise(route))
-    slash = F.when(F.coalesce(trailing_slash, F.lit(False)) & (shown != ""), F.lit("/")).otherwise(F.lit(""))
-    absolute = F.concat(F.regexp_replace(address, "/+$", ""), F.when(shown == "", F.lit("/")).otherwise(shown), slash)
-    rooted = F.concat(base_path(base), F.when((shown == "") & (base_path(base) == ""), F.lit("/")).otherwise(shown), slash)
-    return F.when(address.isNotNull(), absolute).otherwise(rooted)
+    bare = F.when(route == "/", F.lit("")).otherwise(route)
+    path = F.when(prefixed, F.concat(F.lit("/"), locale, bare)).otherwise(bare)
+    return F.when(path == "", F.lit("/")).otherwise(path)
+
+
+def _on(address: Column, base: Column, path: Column) -> Column:
+    rooted = F.when((path == "/") & (base_path(base) != ""), base_path(base)).otherwise(F.concat(base_path(base), path))
+    return F.when(address.isNotNull(), F.concat(F.regexp_replace(address, "/+$", ""), path)).otherwise(rooted)
+
+
+def page_url(path: Column, address: Column, base: Column, trailing_slash: Column, own_domain: Column | None = None) -> Column:
+    """A page's address from its localized path; a language's own domain takes no slash."""
+    slash = F.when(F.coalesce(trailing_slash, F.lit(False)) & (path != "/"), F.lit("/")).otherwise(F.lit(""))
+    shared = F.concat(_on(address, base, path), slash)
+    if own_domain is None:
+        return shared
+    return F.when(own_domain.isNotNull(), F.concat(F.regexp_replace(own_domain, "/+$", ""), path)).otherwise(shared)
+
+
+def _parts_of(path: Column, locales: Column) -> tuple[Column, Column]:
+    """The language prefix of a path (or nothing) and the path after it."""
+    first = F.get(segments(path), F.lit(0))
+    prefix = F.when(F.coalesce(F.array_contains(locales, first), F.lit(False)), F.concat(F.lit("/"), first)).otherwise(F.lit(""))
+    return prefix, F.substring(path, F.length(prefix) + 1, F.length(path))
+
+
+def markdown_path(path: Column, locales: Column) -> Column:
+    """Where the markdown of a shown path is; ``locales`` are the languages that have a prefix."""
+    prefix, rest = _parts_of(path, locales)
+    return F.concat(prefix, F.lit("/"), markdown_filename(rest))
+
+
+def page_path(path: Column, locales: Column) -> Column:
+    """The inverse; null if the path is not that of a page's markdown."""
+    prefix, rest = _parts_of(path, locales)
+    route = markdown_filename_route(rest)
+    return F.when((prefix != "") & (route == "/"), prefix).otherwise(F.concat(prefix, route))
+
+
+def markdown_url(route: Column, locale: Column, default: Column, address: Column, base: Column, own_domain: Column | None = None) -> Column:
+    """The address of a page's markdown; ``route`` is translated already. Relative to the host without an address."""
+    bare = F.concat(F.lit("/"), markdown_filename(route))
+    prefixed = locale.isNotNull() & default.isNotNull() & (locale != default)
+    path = F.when(prefixed, F.concat(F.lit("/"), locale, bare)).otherwise(bare)
+    shared = F.when(address.isNotNull(), F.concat(F.regexp_replace(address, "/+$", ""), path)).otherwise(F.concat(base_path(base), path))
+    if own_domain is None:
+        return shared
+    return F.when(own_domain.isNotNull(), F.concat(F.regexp_replace(own_domain, "/+$", ""), bare)).otherwise(shared)
 
 
 def record_route_base(route: Column) -> Column:

@@ -114,7 +114,7 @@ def index_branches(pages: DataFrame, exclude: list[str] = (), min_pages: int = R
     tops = indexable(pages, exclude).where(R.is_container(F.col("has_content")) & (R.depth(F.col("route")) == 1))
     held = select_indexable(pages, exclude).select("site_id", F.explode(R.ancestors(F.col("route"))).alias("route"))
     counts = held.groupBy("site_id", "route").agg(F.count("*").alias("count"))
-    return tops.join(counts, ["site_id", "route"]).where(F.col("count") >= min_pages).select("site_id", "route", F.coalesce("title", "label", "route").alias("title"), "count")
+    return tops.join(counts, ["site_id", "route"]).where(F.col("count") >= min_pages).select("site_id", "route", F.coalesce(F.nullif("title", F.lit("")), F.nullif("label", F.lit("")), F.col("route")).alias("title"), "count")
 
 
 def translate_routes(pages: DataFrame, translations: DataFrame) -> DataFrame:

@@ -292,12 +292,16 @@ def filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.web_pages(spark, sf_dir).select("page_id", R.markdown_filename(route).alias("filename"), R.markdown_filename_route(R.markdown_filename(route)).alias("back"), R.branch_index_filename(route).alias("branch"))
 
 
-@query(f"WITH {_WEB} SELECT page_id, 'https://' || site_id || CASE WHEN locale <> 'en' THEN '/' || locale || CASE WHEN route = '/' THEN '' ELSE route END ELSE route END AS url, '/base' || CASE WHEN locale <> 'en' THEN '/' || locale ELSE '' END || CASE WHEN route = '/' THEN '' ELSE route || '/' END AS rooted FROM p")
+@query(f"""WITH {_WEB} SELECT page_id, 'https://' || site_id || CASE WHEN locale <> 'en' THEN '/' || locale ELSE '' END || CASE WHEN route = '/' THEN '/index' ELSE route END || '.md' AS url,
+ '/base' || CASE WHEN locale <> 'en' THEN '/' || locale ELSE '' END || CASE WHEN route = '/' THEN '/index' ELSE route END || '.md' AS rooted,
+ 'https://' || site_id || CASE WHEN locale <> 'en' THEN '/' || locale || CASE WHEN route = '/' THEN '' ELSE route END ELSE route END || CASE WHEN locale = 'en' AND route = '/' THEN '' ELSE '/' END AS page FROM p""")
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, en, none = A.web_pages(spark, sf_dir), F.lit("en"), F.lit(None).cast("string")
-    at = R.page_url(F.col("route"), F.col("locale"), en, F.concat(F.lit("https://"), "site_id"), none, F.lit(False))
-    rooted = R.page_url(F.col("route"), F.col("locale"), en, none, F.lit("base/"), F.lit(True))
-    return p.select("page_id", at.alias("url"), F.when(F.col("route") == "/", F.regexp_replace(rooted, "/$", "")).otherwise(rooted).alias("rooted"))
+    address = F.concat(F.lit("https://"), "site_id", F.lit("/"))
+    at = R.markdown_url(F.col("route"), F.col("locale"), en, address, none)
+    rooted = R.markdown_url(F.col("route"), F.col("locale"), en, none, F.lit("base/"))
+    page = R.page_url(R.localized(F.col("route"), F.col("locale"), en), address, none, F.lit(True))
+    return p.select("page_id", at.alias("url"), rooted.alias("rooted"), page.alias("page"))
 
 
 def _sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,10 +331,10 @@ def sitemap_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_MAP}, x AS (SELECT site_id, ord, '  <url>' || chr(10) || '    <loc>' || replace(loc, '&', '&amp;') || '</loc>' || chr(10)
- || '    <xhtml:link rel="alternate" hreflang="en" href="https://' || site_id || route || '"/>' || chr(10)
- || '    <xhtml:link rel="alternate" hreflang="fr" href="https://' || site_id || '/fr' || CASE WHEN route = '/' THEN '' ELSE route END || '"/>' || chr(10)
- || '    <xhtml:link rel="alternate" hreflang="x-default" href="https://' || site_id || route || '"/>' || chr(10)
- || '    <lastmod>2024-05-06</lastmod>' || chr(10) || '    <priority>0.5</priority>' || chr(10) || '  </url>' || chr(10) AS t FROM f)
+ || '    <lastmod>2024-05-06</lastmod>' || chr(10) || '    <priority>0.5</priority>' || chr(10)
+ || '    <xhtml:link rel="alternate" hreflang="en" href="https://' || site_id || route || '" />' || chr(10)
+ || '    <xhtml:link rel="alternate" hreflang="fr" href="https://' || site_id || '/fr' || CASE WHEN route = '/' THEN '' ELSE route END || '" />' || chr(10)
+ || '    <xhtml:link rel="alternate" hreflang="x-default" href="https://' || site_id || route || '" />' || chr(10) || '  </url>' || chr(10) AS t FROM f)
 SELECT site_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">' || chr(10) || string_agg(t, '' ORDER BY ord) || '</urlset>' || chr(10) AS document FROM x GROUP BY site_id""")
 def sitemap_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SI.sitemap_xml(_sitemap(spark, sf_dir))
@@ -342,7 +346,7 @@ def _sites(spark: SparkSession) -> DataFrame:
 
 _LINES = f"""{_GRAPH}, {_BOX}, y AS (SELECT x.*, leaf.title, CASE WHEN group_route IS NULL THEN -1 ELSE min(x.ord) OVER (PARTITION BY group_route) END AS section FROM x JOIN leaf ON leaf.ord = x.ord),
 lines AS (SELECT CAST(-3 AS BIGINT) AS section, CAST(0 AS BIGINT) AS line, '# Regions' AS text UNION ALL SELECT -2, 0, '> Suppliers by' || chr(10) || '> region'
- UNION ALL SELECT DISTINCT section, -1, '## ' || heading FROM y WHERE group_route IS NOT NULL
+ UNION ALL SELECT DISTINCT section, -1, '## ' || coalesce(heading, 'Pages') || chr(10) FROM y
  UNION ALL SELECT section, ord, '- [' || title || '](https://example.com' || route || '.md): About ' || title FROM y)"""
 
 
@@ -356,12 +360,13 @@ def site_index_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SI.site_index(A.page_graph(spark, sf_dir), _sites(spark), EXCLUDE)
 
 
-@query("SELECT * FROM (VALUES ('a', 'User-agent: *' || chr(10) || 'Content-Signal: search=yes, ai-train=no' || chr(10) || 'Allow: /' || chr(10) || 'Disallow: /x' || chr(10) || chr(10) || 'Sitemap: https://a.org/sitemap.xml' || chr(10)), ('b', NULL), ('c', NULL), ('d', 'Sitemap: https://d.org/s.xml' || chr(10))) t(site_id, document)")
+@query("SELECT * FROM (VALUES ('a', 'User-agent: *' || chr(10) || 'Content-Signal: search=yes, ai-train=no' || chr(10) || 'Allow: /' || chr(10) || 'Disallow: /x' || chr(10) || chr(10) || 'Sitemap: https://a.org/sitemap.xml' || chr(10)), ('b', NULL), ('c', NULL), ('d', 'User-agent: *' || chr(10) || chr(10) || 'Sitemap: https://d.org/s.xml' || chr(10)), ('e', 'User-agent: *' || chr(10) || 'Crawl-delay: 10' || chr(10) || chr(10) || 'Sitemap: https://e.org/sitemap.xml' || chr(10)), ('f', 'User-agent: *' || chr(10) || 'Disallow: /y' || chr(10))) t(site_id, document)")
 def robots_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SI.robots_txt(spark.sql("""SELECT * FROM VALUES
-      ('a', 'https://a.org', '', array('/'), array('/x'), map('search', 'yes', 'ai-train', 'false', 'ai-input', 'maybe'), array('https://a.org/sitemap.xml')),
-      ('b', 'https://b.org/docs/', '', array('/'), array('/x'), map('search', 'yes'), array('https://b.org/s.xml')),
-      ('c', null, '', null, null, null, null), ('d', null, '/', null, null, null, array('https://d.org/s.xml')) AS t(site_id, address, base, allow, disallow, signals, sitemaps)"""))
+      ('a', 'https://a.org', '', array('/'), array('/x'), map('search', 'yes', 'ai-train', 'false', 'ai-input', 'maybe'), array('https://a.org/sitemap.xml'), null, false),
+      ('b', 'https://b.org/docs/', '', array('/'), array('/x'), map('search', 'yes'), array('https://b.org/s.xml'), null, true),
+      ('c', null, '', null, null, null, null, null, true), ('d', null, '/', null, null, null, array('https://d.org/s.xml'), null, null),
+      ('e', 'https://e.org/', null, null, null, null, null, '10', true), ('f', null, '', null, array('/y'), null, null, '0', false) AS t(site_id, address, base, allow, disallow, signals, sitemaps, crawl_delay, sitemap)"""))
 
 
 @query("SELECT * FROM (VALUES (1, 'https://a.org', true), (2, 'http://b.org:8080', false), (3, NULL, true), (4, 'https://c.org', true), (5, NULL, true), (6, NULL, false)) t(i, own, ok)")

@@ -64,7 +64,7 @@ def test_versions_and_names(spark):
 def test_index_and_sitemap_documents(spark):
     pages = graph(spark, [("/", {}), ("/docs", {"has_content": False}), ("/docs/a", {})])
     sites = spark.createDataFrame([("s", "Site", "Two\nlines", None)], "site_id string, title string, description string, address string")
-    assert SI.site_index(pages, sites).first()["document"] == "# Site\n\n> Two\n> lines\n\n- [Home](/index.md)\n\n## docs\n- [docs/a](/docs/a.md)\n"
+    assert SI.site_index(pages, sites).first()["document"] == "# Site\n\n> Two\n> lines\n\n## Pages\n\n- [Home](/index.md)\n\n## docs\n\n- [docs/a](/docs/a.md)\n"
     wide = pages.withColumns({c: F.lit(None).cast("string") for c in ("canonical", "lastmod", "changefreq", "priority")}).withColumn("locale", F.lit("en"))
     where = spark.createDataFrame([("s", "https://a.org", "en", False)], "site_id string, address string, default_locale string, noindex boolean")
     none = spark.createDataFrame([("s", "en", 0)], "site_id string, locale string, n int")
