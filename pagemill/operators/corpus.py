@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WIDE_SPACE, trim_wide
+from . import richtext as T
+from . import selectors as S
 
 PAGE = ("site_id", "route")
 
@@ -59,6 +61,46 @@ def manifest(pages: DataFrame, sections: DataFrame) -> DataFrame:
     return pages.join(per, list(PAGE))
 
 
+def build_corpus(pages: DataFrame, sections: DataFrame, exclude: list[str] = (), knowledge: bool = False) -> DataFrame:
+    """Pages of the corpus that have text: site_id, ord, route, title, description, knowledge, markdown, lines, segments in their order.
+
+    A page's markdown and its segments are one row. ``sections`` are visible ones.
+    """
+    chosen = S.select_corpus(pages, exclude, knowledge).withColumn("is_knowledge", F.lit(False))
+    if knowledge:
+        flag = S.partition_knowledge(pages).select("site_id", "route", "ord", "is_knowledge")
+        chosen = chosen.drop("is_knowledge").join(flag, ["site_id", "route", "ord"])
+    one = F.struct("path", "anchor", "start_line", "end_line", "title", "markdown")
+    held = segments(sections).groupBy(*PAGE).agg(F.max("end_line").alias("lines"), F.sort_array(F.collect_list(one)).alias("segments"))
+    held = held.withColumn("markdown", F.array_join(F.transform("segments", lambda x: x["markdown"]), "\n\n"))
+    return chosen.join(held, list(PAGE)).select("site_id", "ord", "route", "title", "description", F.col("is_knowledge").alias("knowledge"), "markdown", "lines", "segments")
+
+
+def corpus_manifest(corpus: DataFrame) -> DataFrame:
+    """A corpus without its texts."""
+    listed = F.transform("segments", lambda x: F.struct(x["anchor"].alias("anchor"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["title"].alias("title")))
+    return corpus.select("site_id", "ord", "route", "title", "description", "knowledge", "lines", listed.alias("segments"))
+
+
+def with_shown_records(sections: DataFrame, shown: DataFrame, record: DataFrame | None = None) -> DataFrame:
+    """Page markdown with what sections show: after a section its values, in their order.
+
+    ``shown``: site_id, route, dom_id (a section's anchor), pos, name, value (JSON text). Of sections
+    with one id the first shows them. ``record``: site_id, route, value of pages that are a record's.
+    """
+    own = blocks(sections).select(*PAGE, "path", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("pos"), "markdown")
+    first = sections.groupBy(*PAGE, F.coalesce("dom_id", "anchor").alias("dom_id")).agg(F.min("path").alias("path"))
+    rows = shown.where("value is not null and value <> 'null'").join(first, [*PAGE, "dom_id"])
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "name", "value").orderBy("path", "pos"))
+    rows = rows.withColumn("again", nth > 1).select(*PAGE, "path", F.lit(1).alias("slot"), F.col("pos").cast("long").alias("pos"), T.shown_markdown_udf("name", "value", "again").alias("markdown"))
+    every = own.unionByName(rows)
+    if record is not None:
+        last = record.select(*PAGE, F.lit(None).cast("array<int>").alias("path"), F.lit(2).alias("slot"), F.lit(0).cast("long").alias("pos"), T.record_markdown_udf("value").alias("markdown"))
+        every = every.unionByName(last)
+    rows = F.sort_array(F.collect_list(F.struct((F.col("slot") == 2).alias("end"), "path", "slot", "pos", "markdown")))
+    return every.where("markdown <> ''").groupBy(*PAGE).agg(F.array_join(F.transform(rows, lambda x: x["markdown"]), "\n\n").alias("markdown"))
+
+
 def shown_labels(shown: DataFrame) -> DataFrame:
     """Values shown by sections (site_id, route, pos, name, value): comment label, and whether an equal one came before."""
     r = F.row_number().over(Window.partitionBy(*PAGE, "name", "value").orderBy("pos"))

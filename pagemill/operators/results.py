@@ -13,8 +13,8 @@ from ..functions.text import escape_html, fold_text
 
 SNIPPET, CONTEXT = 160, 60
 #: The fields of a result; the second line may be null.
-FIELDS = ("id", "type", "route", "href", "title", "pageTitle", "excerpt", "snippet",
-          "description", "keywords", "sectionId", "anchor", "component", "group", "item", "matches")
+FIELDS = ("id", "type", "route", "href", "title", "pageTitle", "excerpt", "snippetHtml",
+          "sectionId", "anchor", "description", "component", "snippetText", "matches", "group", "item")
 
 
 def match_ranges(text: str, terms: list[str]) -> list[list[int]]:
@@ -75,17 +75,37 @@ def highlight(text: str, ranges: list[list[int]], tag: str = "mark", class_name:
     return "".join([*out, esc(text[at:])])
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def ranges_of(text: pd.Series, terms: pd.Series) -> pd.Series:
-    return pd.Series([match_ranges(t or "", list(x) if x is not None else []) for t, x in zip(text, terms, strict=True)])
+def units(text: str, ranges: list[list[int]]) -> tuple[str, list[list[int]]]:
+    """A text as UTF-16 units (one character each) and ranges of characters as ranges of units."""
+    if all(ord(c) < 0x10000 for c in text):
+        return text, ranges
+    ends, at, out = [], 0, []
+    for c in text:
+        two = ord(c) - 0x10000
+        out += [c] if two < 0 else [chr(0xD800 + (two >> 10)), chr(0xDC00 + (two & 0x3FF))]
+        at = len(out)
+        ends.append(at)
+    return "".join(out), [[ends[a - 1] if a else 0, ends[b] - 1] for a, b in ranges]
 
 
-@F.pandas_udf(T.StringType())
-def snippet_html(text: pd.Series, terms: pd.Series) -> pd.Series:
-    out = []
-    for t, x in zip(text, terms, strict=True):
-        out.append(highlight(*snippet(t or "", match_ranges(t or "", list(x) if x is not None else []))))
-    return pd.Series(out, dtype=object)
+def _joined(text: str) -> str:
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+SHAPED = T.StructType().add("html", T.StringType()).add("text", T.StringType()).add("ranges", T.ArrayType(T.ArrayType(T.IntegerType())))
+
+
+def shape(text: str, terms: list[str]) -> tuple[str, str, list[list[int]]]:
+    """Marked snippet, plain snippet and the match ranges of a text, in UTF-16 units with both ends."""
+    whole, ranges = units(text, match_ranges(text, terms))
+    part, inside = snippet(whole, ranges)
+    return _joined(highlight(part, inside)), _joined(part), ranges
+
+
+@F.pandas_udf(SHAPED)
+def shaped(text: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    rows = [shape(t or "", list(x) if x is not None else []) for t, x in zip(text, terms, strict=True)]
+    return pd.DataFrame(rows, columns=["html", "text", "ranges"])
 
 
 def results(hits: DataFrame, entries: DataFrame, query_terms: DataFrame) -> DataFrame:
@@ -95,15 +115,16 @@ def results(hits: DataFrame, entries: DataFrame, query_terms: DataFrame) -> Data
     """
     have = {c.lower() for c in entries.columns}
     col = lambda c: F.col(c) if c.lower() in have else F.lit(None).cast("string")
-    rows = hits.join(entries, "doc").join(query_terms.select("qid", F.col("tokens").alias("terms_")), "qid")
-    text = lambda *cs: F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))
-    anchor = F.coalesce(F.concat(F.lit("#"), F.nullif(col("anchor"), F.lit(""))), F.lit(""))
+    rows = hits.join(entries, "doc").join(query_terms.select("qid", F.col("tokens").alias("terms_")), "qid", "left")
+    rows = rows.withColumn("s_", shaped(F.coalesce(col("content"), F.lit("")), F.col("terms_")))
+    text = lambda *cs: F.coalesce(*[col(c) for c in cs], F.lit(""))
+    href = F.when(F.coalesce(col("anchor"), F.lit("")) != "", F.concat(text("route"), F.lit("#"), col("anchor"))).otherwise(text("route"))
+    matches = F.when(F.size("s_.ranges") > 0, F.array(F.struct(F.lit("content").alias("key"), F.col("s_.ranges").alias("indices"))))
     return rows.select(
-        "qid", "rank", "doc", "score", text("id").alias("id"), text("type").alias("type"), text("route").alias("route"), F.concat(text("route"), anchor).alias("href"),
-        text("title", "pageTitle").alias("title"), text("pageTitle", "title").alias("pageTitle"), text("excerpt", "description").alias("excerpt"),
-        snippet_html(text("content"), F.col("terms_")).alias("snippet"), col("description").alias("description"), col("keywords").cast("string").alias("keywords"),
-        col("sectionId").alias("sectionId"), col("anchor").alias("anchor"), col("component").alias("component"), col("group").alias("group"), col("item").alias("item"),
-        ranges_of(text("content"), F.col("terms_")).alias("matches"),
+        "qid", "rank", "doc", "score", text("id").alias("id"), text("type").alias("type"), text("route").alias("route"), href.alias("href"),
+        text("title").alias("title"), text("pageTitle", "title").alias("pageTitle"), text("excerpt", "description").alias("excerpt"),
+        F.col("s_.html").alias("snippetHtml"), col("sectionId").alias("sectionId"), col("anchor").alias("anchor"), col("description").alias("description"),
+        col("component").alias("component"), F.col("s_.text").alias("snippetText"), matches.alias("matches"), col("group").alias("group"), col("item").alias("item"),
     )
 
 

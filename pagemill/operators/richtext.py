@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import quote
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONTAINERS = ("blockquote", "table", "tableRow", "tableCell", "tableHeader")
+CONTAINERS = ("blockquote", "table", "tableRow", "tableCell")
 #: Keys that wire a record up rather than describe it.
 WIRING = ("id", "route", "image")
 _ADDRESS = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://\S*|(?:mailto|tel):\S*|\.{0,2}/\S*)$")
@@ -168,36 +170,68 @@ def fence(body: str) -> str:
     return "`" * max(3, 1 + max((len(x) for x in re.findall("`+", body)), default=0))
 
 
+def number(value: int | float) -> str:
+    """A number as JSON text writes it: no fraction where there is none."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    return re.sub(r"e([+-])0*(\d)", r"e\1\2", repr(value))
+
+
+def _plain_numbers(value):
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _plain_numbers(v) for k, v in value.items()}
+    return [_plain_numbers(v) for v in value] if isinstance(value, list) else value
+
+
 def json_block(value) -> str:
-    body = json.dumps(value, indent=2, ensure_ascii=False)
+    body = json.dumps(_plain_numbers(value), indent=2, ensure_ascii=False)
     mark = fence(body)
     return f"{mark}json\n{body}\n{mark}"
 
 
-def lift(value, path: str = "") -> tuple[object, list[tuple[str, str]]]:
-    """A record without its rich text, and the texts with their dotted paths; objects emptied by it go."""
-    if is_doc(value) and writable(value) and (text := markdown(value)):
-        return None, [(path, text)]
-    if not isinstance(value, dict) or is_doc(value):
-        return value, []
+def _prose(value) -> str:
+    """Markdown of a document all of which can be written, else nothing."""
+    return markdown(value) if is_doc(value) and isinstance(value.get("content"), list) and writable(value) else ""
+
+
+def lift(record: dict, path: tuple[str, ...] = ()) -> tuple[dict, list[tuple[tuple[str, ...], str]]]:
+    """A record without its rich text, and the texts with their paths; objects emptied by it go."""
     out, texts = {}, []
-    for k, v in value.items():
-        rest, found = lift(v, f"{path}.{k}" if path else k)
-        texts += found
-        if not (found and (rest is None or rest == {})):
-            out[k] = rest
+    for k, v in record.items():
+        here = (*path, k)
+        if text := _prose(v):
+            texts.append((here, text))
+        elif isinstance(v, dict) and not is_doc(v):
+            rest, found = lift(v, here)
+            texts += found
+            if rest or not v:
+                out[k] = rest
+        else:
+            out[k] = v
     return out, texts
 
 
-def record_blocks(value) -> list[str]:
-    """Markdown blocks of a shown value: its fields as JSON, then its rich texts."""
+def record_blocks(value, name: str | None = None) -> list[str]:
+    """Markdown blocks of a shown value: its fields as JSON, then its rich texts under their dotted paths.
+
+    A single text in a field ``content`` is the body of an unnamed record and stands without a comment.
+    """
     if not isinstance(value, dict):
         return [json_block(value)]
     rest, texts = lift(value)
-    out = [json_block(rest)] if rest or not texts else []
-    for path, text in texts:
-        out.append(text if [p for p, _ in texts] == ["content"] else f"<!-- {path.replace('--', '-')} -->\n\n{text}")
-    return out
+    body = name is None and len(texts) == 1 and texts[0][0][-1] == "content"
+    own = [] if name is None else [name]
+    return ([json_block(rest)] if rest else []) + [text if body else f"<!-- {'.'.join([*own, *path])} -->\n\n{text}" for path, text in texts]
+
+
+def shown_blocks(name: str, value, again: bool) -> list[str]:
+    """Blocks of a value that a section shows; one that was written before is only named."""
+    if value is None:
+        return []
+    label = name.replace("--", "-")
+    return [f"<!-- {label}: as above -->"] if again else [f"<!-- {label} -->", *record_blocks(value, label)]
 
 
 def is_address(text: str) -> bool:
@@ -205,25 +239,24 @@ def is_address(text: str) -> bool:
 
 
 def words_of(value) -> str:
-    """Words of a field: text, finite numbers, lists and documents; never booleans."""
+    """Words of a field as they stand: text, finite numbers, lists and documents; never booleans."""
     if isinstance(value, bool) or value is None:
         return ""
     if isinstance(value, str):
-        return value.strip()
+        return value
     if isinstance(value, (int, float)):
-        return str(value) if value == value and abs(value) != float("inf") else ""
+        return number(value) if value == value and abs(value) != float("inf") else ""
     if isinstance(value, list):
         return " ".join(w for w in map(words_of, value) if w)
-    kind = value.get("type")
-    if kind == "text":
-        return value.get("text") or ""
-    if kind == "hardBreak":
+    if value.get("type") == "text":
+        return value["text"] if isinstance(value.get("text"), str) else ""
+    if value.get("type") == "hardBreak":
         return " "
     kids = value.get("content")
-    if isinstance(kids, list):
-        inline = any((c or {}).get("type") == "text" for c in kids)
-        return re.sub(r"\s+", " ", ("" if inline else " ").join(w for w in map(words_of, kids) if w)).strip()
-    return ""
+    if not isinstance(kids, list):
+        return ""
+    leaf = lambda c: not isinstance(c, dict) or c.get("type") == "text" or not isinstance(c.get("content"), list)
+    return ("" if all(map(leaf, kids)) else " ").join(w for w in map(words_of, kids) if w)
 
 
 def is_whole(record: dict) -> bool:
@@ -233,63 +266,103 @@ def is_whole(record: dict) -> bool:
     return bool(own) and all(section(v) or (isinstance(v, list) and v and all(map(section, v))) for v in own)
 
 
+def _section(value) -> bool:
+    return isinstance(value, dict) and value.get("type") != "doc"
+
+
 def fields_of(record: dict) -> dict:
     if not is_whole(record):
         return record
     out = {k: v for k, v in record.items() if k.startswith("$")}
-    for v in record.values():
-        for part in v if isinstance(v, list) else [v]:
-            for k, x in part.items() if isinstance(part, dict) else ():
-                out.setdefault(k, x)
+    for k, v in record.items():
+        if not k.startswith("$") and _section(v):
+            for name, x in v.items():
+                out.setdefault(name, x)
     return out
 
 
-def _deep(value) -> list[str]:
-    if isinstance(value, dict) and not is_doc(value):
-        return [w for k, v in value.items() if not k.startswith("$") and k not in WIRING for w in _deep(v)]
-    if isinstance(value, list):
-        return [w for v in value for w in _deep(v)]
-    if isinstance(value, str) and is_address(value):
-        return []
-    word = words_of(value)
-    return [word] if word else []
+def _deep(section: dict) -> list[str]:
+    out = []
+    for k, v in section.items():
+        if k.startswith("$") or k in WIRING:
+            continue
+        if _section(v):
+            out += _deep(v)
+        elif isinstance(v, list) and v and all(map(_section, v)):
+            out += [w for x in v for w in _deep(x)]
+        elif isinstance(v, str):
+            out += [v] if v.strip() and not is_address(v) else []
+        elif text := words_of(v):
+            out.append(text)
+    return out
+
+
+def searchable_keys(record: dict) -> list[str]:
+    """A brief record's plain text fields, in their order."""
+    return [k for k, v in record.items() if isinstance(v, str) and v.strip() and not k.startswith("$") and k not in WIRING and not is_address(v)]
 
 
 def record_text(record: dict, declared: list[str] | None = None) -> str:
     """Search text of a record: declared fields, all of a whole record, or a brief one's plain strings."""
-    fields = fields_of(record)
-    if declared:
+    if declared is not None:
+        fields = fields_of(record)
         return " ".join(w for w in (words_of(fields.get(k)) for k in declared) if w)
     if is_whole(record):
-        return " ".join(w for k, v in record.items() if not k.startswith("$") for w in _deep(v))
-    return " ".join(v.strip() for k, v in record.items() if isinstance(v, str) and v.strip() and not k.startswith("$") and k not in WIRING and not is_address(v))
+        parts = [v for k, v in record.items() if not k.startswith("$")]
+        return " ".join(w for v in parts for x in (v if isinstance(v, list) else [v]) for w in _deep(x))
+    return " ".join(record[k] for k in searchable_keys(record))
 
 
-def display_fields(record: dict) -> dict:
+def display_fields(fields: dict) -> dict:
     keep = lambda v: isinstance(v, (bool, int, float)) or (isinstance(v, str) and len(v) <= 200)
-    return {k: v for k, v in fields_of(record).items() if not k.startswith("$") and k not in WIRING and keep(v)}
+    return {k: v for k, v in fields.items() if not k.startswith("$") and k not in WIRING and keep(v)}
+
 
+def _param(segment: str) -> bool:
+    return segment.startswith(":")
 
-def slug(text: str) -> str:
-    return re.sub(r"^-+|-+$", "", re.sub(r"[^\w]+|_", "-", text.lower()))
+
+def record_route(config: dict, fields: dict, slug: str) -> str | None:
+    """A record's page: its filled pattern, else its own route, else the list's route and its slug."""
+    pattern, route = config.get("pattern"), config.get("route")
+    if pattern:
+        *base, last = pattern.split("/")
+        if not _param(last) or any(map(_param, base)):
+            return None
+        handle = fields.get(config["field"]) if config.get("field") else fields.get("$name")
+        return "/".join(base) + "/" + quote(words_of(handle), safe="!'()*~") if handle not in (None, "") else None
+    if fields.get("route"):
+        return fields["route"]
+    if not isinstance(route, str) or not route or any(map(_param, route.split("/"))):
+        return None
+    return re.sub(r"/$", "", route) + "/" + slug
 
 
-def record_entry(record: dict, group: str, declared: list[str] | None = None, weight: float = 0.7) -> dict | None:
-    """id, title, content, excerpt, item of a record; None without a slug."""
+def record_entry(record: dict, group: str, config: dict | None = None) -> dict | None:
+    """id, route, title, content, excerpt, item of a record; None without a route.
+
+    ``config``: pattern and field, or route, and search (fields, weight), as a list of records declares them.
+    """
+    config = config or {}
+    search = config.get("search") or {}
     fields = fields_of(record)
     handle = record.get("$name") or ""
-    title = words_of(fields.get("title")) or words_of(fields.get("name")) or handle
-    key = handle or words_of(fields.get("id")) or slug(title)
-    if not key:
+    slug = handle or words_of(fields.get("id")) or re.sub(r"\s+", "-", words_of(fields.get("title")).lower())
+    route = record_route(config, fields, slug)
+    if not route:
         return None
-    content = record_text(record, declared)
+    declared = search.get("fields")
+    content = record_text(record, declared if isinstance(declared, list) else None)
     about = words_of(fields.get("description")) or words_of(fields.get("excerpt")) or content
     line = re.sub(r"\s+", " ", about).strip()
     about = line if len(line) <= 160 else re.sub(r"[\s.…]+$", "", line[:160]) + "…"
-    return {"id": f"record:{group}:{key}", "slug": key, "title": title, "content": content, "excerpt": about, "weight": weight, "item": json.dumps(display_fields(record), ensure_ascii=False)}
+    title = words_of(fields.get("title")) or words_of(fields.get("name")) or handle or slug
+    weight = search.get("weight")
+    return {"id": f"record:{group}:{slug}", "type": "record", "group": group, "route": route, "title": title, "content": content, "excerpt": about,
+            "weight": 0.7 if weight is None else float(weight), "item": json.dumps(_plain_numbers(display_fields(fields)), ensure_ascii=False)}
 
 
-_ENTRY = T.StructType([T.StructField(n, T.DoubleType() if n == "weight" else T.StringType()) for n in ("id", "slug", "title", "content", "excerpt", "weight", "item")])
+_ENTRY = T.StructType([T.StructField(n, T.DoubleType() if n == "weight" else T.StringType()) for n in ("id", "type", "group", "route", "title", "content", "excerpt", "weight", "item")])
 
 
 def _load(text):
@@ -315,8 +388,18 @@ def record_markdown_udf(record: pd.Series) -> pd.Series:
     return pd.Series(["\n\n".join(record_blocks(_load(r))) for r in record], dtype=object)
 
 
-@F.pandas_udf(_ENTRY)
-def record_entry_udf(record: pd.Series, group: pd.Series) -> pd.DataFrame:
-    names = ["id", "slug", "title", "content", "excerpt", "weight", "item"]
-    rows = [(record_entry(r, g) if isinstance(r, dict) else None) or dict.fromkeys(names) for r, g in zip(map(_load, record), group, strict=True)]
-    return pd.DataFrame(rows, columns=names)
+def record_entries(records: DataFrame, group: str, config: dict | None = None, record: str = "record") -> DataFrame:
+    """The columns beside ``record`` (JSON text) and the entry of each record that has a page."""
+
+    @F.pandas_udf(_ENTRY)
+    def entry(rows: pd.Series) -> pd.DataFrame:
+        made = [(record_entry(r, group, config) if isinstance(r, dict) else None) or dict.fromkeys(_ENTRY.names) for r in map(_load, rows)]
+        return pd.DataFrame(made, columns=_ENTRY.names)
+
+    others = [c for c in records.columns if c != record]
+    return records.select(*others, entry(record).alias("e_")).select(*others, "e_.*").where("id is not null")
+
+
+@F.pandas_udf(T.StringType())
+def shown_markdown_udf(name: pd.Series, value: pd.Series, again: pd.Series) -> pd.Series:
+    return pd.Series(["\n\n".join(shown_blocks(n, _load(v), a)) for n, v, a in zip(name, value, again, strict=True)], dtype=object)

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import new_path, written
 
 K1, B_TITLE, B_BODY, W_TITLE, W_BODY, WEIGHT = 1.2, 0.5, 0.75, 3.0, 1.0, 0.6
 PREFIX_MIN, PREFIX_CAP, PREFIX_PART = 2, 24, 0.5
@@ -22,34 +23,52 @@ PHRASE_WINDOW, PHRASE_BOOST = 200, 1.35
 
 @dataclass
 class Index:
-    """``docs``: doc, title_terms, body_terms, weight and the folded texts; written once, read by every query."""
+    """A written index: its tables, and the one row of statistics.
 
-    docs: DataFrame
+    ``docs``: doc, weight and the folded texts. ``postings``: term, doc, tf_title, tf_body, len_title,
+    len_body, weight, sorted by term within files, so that readers skip row groups. ``terms``: term, df.
+    """
 
-    def postings(self, only: DataFrame | None = None) -> DataFrame:
-        """term, doc, tf_title, tf_body; ``only`` keeps terms of a frame ``term`` before they are summed."""
-        one = lambda t, a, b: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(a).alias("t"), F.lit(b).alias("b")))
-        rows = self.docs.select("doc", F.explode(F.concat(one("title_terms", 1, 0), one("body_terms", 0, 1))).alias("x")).select("doc", "x.*")
-        if only is not None:
-            rows = rows.join(only, "term", "left_semi")
-        return rows.groupBy("term", "doc").agg(F.sum("t").alias("tf_title"), F.sum("b").alias("tf_body"))
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    avg_title: float
+    avg_body: float
 
     def dictionary(self) -> DataFrame:
         """term, df."""
-        rows = self.docs.select(F.explode(F.array_distinct(F.concat("title_terms", "body_terms"))).alias("term"))
-        return rows.groupBy("term").agg(F.count("*").alias("df"))
+        return self.terms
 
     def lengths(self) -> DataFrame:
-        return self.docs.select("doc", F.size("title_terms").cast("long").alias("len_title"), F.size("body_terms").cast("long").alias("len_body"), "weight")
+        return self.docs.select("doc", "len_title", "len_body", "weight")
 
     def stats(self) -> DataFrame:
-        mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-        return self.lengths().agg(F.count("*").alias("n"), mean("len_title").alias("avg_title"), mean("len_body").alias("avg_body"))
+        return self.docs.sparkSession.createDataFrame([(self.n, self.avg_title, self.avg_body)], "n long, avg_title double, avg_body double")
 
 
-def build(entries: DataFrame) -> Index:
+def build(entries: DataFrame, path: str | None = None) -> Index:
+    """Fold, cut and write once, to ``path`` or a new folder of the shared one; ``open_index`` reads it again."""
+    spark = entries.sparkSession
+    path = path or new_path(spark, "index")
     folded = entries.select("doc", "weight", X.fold("title").alias("title_folded"), X.fold("content").alias("body_folded"))
-    return Index(folded.select("*", X.terms(F.col("title_folded")).alias("title_terms"), X.terms(F.col("body_folded")).alias("body_terms")))
+    cut = folded.select("*", X.terms(F.col("title_folded")).alias("title_terms"), X.terms(F.col("body_folded")).alias("body_terms"))
+    docs = written(cut.withColumns({"len_title": F.size("title_terms").cast("long"), "len_body": F.size("body_terms").cast("long")}), f"{path}/docs")
+    one = lambda t, a, b: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(a).alias("t"), F.lit(b).alias("b")))
+    rows = docs.select("doc", "len_title", "len_body", "weight", F.explode(F.concat(one("title_terms", 1, 0), one("body_terms", 0, 1))).alias("x"))
+    rows = rows.groupBy("x.term", "doc", "len_title", "len_body", "weight").agg(F.sum("x.t").alias("tf_title"), F.sum("x.b").alias("tf_body"))
+    # by range, so that a term that most documents hold is cut over several files
+    written(rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    written(postings.groupBy("term").agg(F.count("*").alias("df")), f"{path}/terms")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    written(docs.agg(F.count("*").alias("n"), mean("len_title").alias("avg_title"), mean("len_body").alias("avg_body")), f"{path}/stats")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    docs, postings, terms, stats = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats"))
+    return Index(docs, postings, terms, *stats.first())
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -77,13 +96,11 @@ def corrections(dictionary: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def score(index: Index, weights: DataFrame) -> DataFrame:
-    """qid, doc, score of weighted query terms (qid, term, mult)."""
-    postings = index.postings(weights.select("term").distinct())
-    with_df = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
-    part = lambda tf, length, mean, b: F.when(F.col(mean) == 0, F.lit(0.0)).otherwise(F.col(tf) / (1 - b + b * F.col(length) / F.col(mean)))
-    tf = W_TITLE * part("tf_title", "len_title", "avg_title", B_TITLE) + W_BODY * part("tf_body", "len_body", "avg_body", B_BODY)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = with_df.join(weights, "term").join(index.lengths(), "doc").join(F.broadcast(index.stats()))  # statistics are one row
+    """qid, doc, score of weighted query terms (qid, term, mult); only their postings are read."""
+    part = lambda tf, length, mean, b: F.lit(0.0) if mean == 0 else F.col(tf) / (1 - b + b * F.col(length) / mean)
+    tf = W_TITLE * part("tf_title", "len_title", index.avg_title, B_TITLE) + W_BODY * part("tf_body", "len_body", index.avg_body, B_BODY)
+    idf = F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rows = index.postings.join(weights.join(index.dictionary(), "term"), "term")
     scored = rows.select("qid", "doc", "weight", (F.col("mult") * idf * tf * (K1 + 1) / (tf + K1)).alias("s"))
     return scored.groupBy("qid", "doc").agg(F.round(F.sum("s") * F.coalesce(F.first("weight"), F.lit(WEIGHT)), 6).alias("score"))
 
@@ -124,17 +141,20 @@ def scored_terms(index: Index, queries: DataFrame, prefix: bool = True, fuzzy: b
 def rank(index: Index, queries: DataFrame, limit: int = 10, prefix: bool = True, fuzzy: bool = True, phrase: bool = True) -> DataFrame:
     """qid, rank, doc, score, total, fuzzy for a batch of queries (qid, text)."""
     asked = query_terms(queries)
-    scored = score(index, weights_of(index, asked, prefix)).withColumn("fuzzy", F.lit(False))
+    weights = weights_of(index, asked, prefix)
+    flags = asked.select("qid", F.lit(False).alias("fuzzy"))
     if fuzzy:
-        missed = asked.join(scored.select("qid").distinct(), "qid", "left_anti")
-        wanted = missed.select("qid", F.explode(F.array_distinct("tokens")).alias("token"))
-        near = corrections(index.dictionary(), wanted)
-        again = near.select("qid", "term").distinct().withColumn("mult", F.lit(1.0))
-        scored = scored.unionByName(score(index, again).withColumn("fuzzy", F.lit(True)))
-    scored = scored.withColumn("total", F.count("*").over(Window.partitionBy("qid")))
+        # a query has hits if the dictionary has a term of it
+        missed = asked.join(weights.join(index.dictionary(), "term", "left_semi").select("qid"), "qid", "left_anti")
+        near = corrections(index.dictionary(), missed.select("qid", F.explode(F.array_distinct("tokens")).alias("token")))
+        weights = weights.unionByName(near.select("qid", "term").distinct().withColumn("mult", F.lit(1.0)))
+        flags = flags.join(missed.select("qid", F.lit(True).alias("missed")), "qid", "left").select("qid", F.coalesce("missed", F.lit(False)).alias("fuzzy"))
+    scored = score(index, weights)
+    totals = scored.groupBy("qid").agg(F.count("*").alias("total")).join(flags, "qid")
+    columns = ["qid", "rank", "doc", "score", "total", "fuzzy"]
     if not phrase:
-        return top(scored, limit).select("qid", "rank", "doc", "score", "total", "fuzzy")
-    head = top(scored, max(limit, PHRASE_WINDOW))
+        return top(scored, limit).join(totals, "qid").select(*columns)
+    head = top(scored, max(limit, PHRASE_WINDOW)).join(totals, "qid")
     many = asked.where(F.size("tokens") > 1).select("qid", "folded")
     found = (
         head.where((F.col("rank") <= PHRASE_WINDOW) & ~F.col("fuzzy")).select("qid", "doc").join(many, "qid")
@@ -142,4 +162,4 @@ def rank(index: Index, queries: DataFrame, limit: int = 10, prefix: bool = True,
         .where(F.contains("whole", "folded")).select("qid", "doc", F.lit(PHRASE_BOOST).alias("boost"))
     )
     lifted = head.drop("rank").join(found, ["qid", "doc"], "left").withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6))
-    return top(lifted, limit).select("qid", "rank", "doc", "score", "total", "fuzzy")
+    return top(lifted, limit).select(*columns)

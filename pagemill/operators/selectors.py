@@ -66,6 +66,19 @@ def select_searchable(pages: DataFrame, exclude: list[str] = ()) -> DataFrame:
     return select_indexable(pages.withColumn("noindex", _yes("noindex") & ~R.in_version_folder(F.col("route"))), exclude)
 
 
+def markdown_rule(pages: DataFrame, exclude: list[str] = (), markdown: bool = True) -> DataFrame:
+    """site_id, route, ord, and whether the page's own markdown is public (``page``), and that of a record at its route (``record``)."""
+    bare = pages.select("site_id", "route", "ord")
+    if not markdown:
+        return bare.withColumns({"page": F.lit(False), "record": F.lit(False)})
+    public = select_indexable(pages, exclude).select("site_id", "route", "ord", F.lit(True).alias("page"))
+    open_ = at_or_under(pages, excluded_branches(pages, list(exclude)), "left_anti").where(
+        (F.col("route") != "") & (F.col("route") != R.NOT_FOUND_ROUTE) & ~R.is_dynamic(F.col("route"), F.lit(False)) & ~R.has_draft_segment(F.col("route"))
+    ).select("site_id", "route", "ord", F.lit(True).alias("record"))
+    out = bare.join(public, ["site_id", "route", "ord"], "left").join(open_, ["site_id", "route", "ord"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("page", "record")})
+
+
 def partition_knowledge(pages: DataFrame) -> DataFrame:
     """``pages`` with ``is_knowledge``: flagged, or under a flagged page."""
     under = at_or_under(pages.where(F.col("route").isNotNull()), knowledge_roots(pages), "left_semi").select("site_id", "route", F.lit(True).alias("under_"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import config as CF
 from ..functions import routes as R
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators import entries as EN
 from ..operators import richtext as T
 from ..operators import results as RS
 from ..operators import search as SE
@@ -29,6 +33,17 @@ def query(sql: str | None = None):
     return register
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> SE.Index:
+    """The index of the documents, written once for a session and read by every query."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = SE.build(A.document_entries(spark, sf_dir))
+    return _INDEXES[at]
+
+
 # search ---------------------------------------------------------------------------------------
 
 _TERM = r"""list_filter(regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_''’-]*'), lambda w: length(w) >= 2 OR regexp_matches(w, '\p{{N}}'))"""
@@ -53,7 +68,7 @@ s AS (
 
 @query(f"WITH {_DOCS} SELECT doc, term, CAST(sum(tf_title) AS BIGINT) AS tf_title, CAST(sum(tf_body) AS BIGINT) AS tf_body FROM p GROUP BY doc, term")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.build(A.document_entries(spark, sf_dir)).postings()
+    return _index(spark, sf_dir).postings()
 
 
 @query(f"SELECT doc_id, CAST(len({_T('text')}) AS BIGINT) AS n_terms, array_to_string(list_sort(list_distinct({_T('text')})), ' ') AS terms FROM documents")
@@ -65,12 +80,12 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT term, CAST(df AS BIGINT) AS df FROM df")
 def term_dictionary_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.build(A.document_entries(spark, sf_dir)).dictionary()
+    return _index(spark, sf_dir).dictionary()
 
 
 @query(f"WITH {_DOCS} SELECT CAST(n AS BIGINT) AS n, round(mt, 9) AS avg_title, round(mb, 9) AS avg_body FROM st")
 def doc_lengths_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = SE.build(A.document_entries(spark, sf_dir)).stats()
+    s = _index(spark, sf_dir).stats()
     return s.select("n", F.round("avg_title", 9).alias("avg_title"), F.round("avg_body", 9).alias("avg_body"))
 
 
@@ -80,7 +95,7 @@ _EXACT = "w AS (SELECT DISTINCT qid, unnest(ts) AS term, 1.0 AS mult FROM qt)"
 
 @query(f"WITH {_DOCS}, {_QUERIES}, {_EXACT}, {_SCORE} {_TOP}")
 def bm25f_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = SE.build(A.document_entries(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return SE.rank(index, A.benchmark_queries(spark, sf_dir), prefix=False, fuzzy=False, phrase=False).drop("fuzzy")
 
 
@@ -90,7 +105,7 @@ _COMPLETE = f"{_LAST}, c AS (SELECT qid, term, df FROM (SELECT qid, term, df, ro
 
 @query(f"WITH {_DOCS}, {_QUERIES}, {_COMPLETE} SELECT qid, term, CAST(df AS BIGINT) AS df FROM c")
 def prefix_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = SE.build(A.document_entries(spark, sf_dir))
+    index = _index(spark, sf_dir)
     asked = SE.query_terms(A.benchmark_queries(spark, sf_dir)).where(F.size("tokens") > 0)
     return SE.completions(index.dictionary(), asked.select("qid", F.try_element_at("tokens", F.lit(-1)).alias("prefix")))
 
@@ -100,7 +115,7 @@ _PREFIX = f"{_COMPLETE}, w AS (SELECT qid, term, max(mult) AS mult FROM (SELECT
 
 @query(f"WITH {_DOCS}, {_QUERIES}, {_PREFIX}, {_SCORE} {_TOP}")
 def bm25f_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = SE.build(A.document_entries(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return SE.rank(index, A.benchmark_queries(spark, sf_dir), fuzzy=False, phrase=False).drop("fuzzy")
 
 
@@ -110,7 +125,7 @@ b AS (SELECT h.qid, h.doc, total, round(score * CASE WHEN len(ts) > 1 AND contai
       FROM h JOIN d USING (doc) JOIN qt USING (qid) WHERE r <= 200)
 SELECT qid, CAST(r AS INT) AS rank, doc, score, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM b) WHERE r <= 10""")
 def phrase_boost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = SE.build(A.document_entries(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return SE.rank(index, A.benchmark_queries(spark, sf_dir), prefix=False, fuzzy=False).drop("fuzzy")
 
 
@@ -119,23 +134,23 @@ def phrase_boost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bm25f_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(SE.build(A.document_entries(spark, sf_dir)), A.whole_queries(spark, sf_dir), prefix=False, fuzzy=False, phrase=False).drop("fuzzy")
+    return SE.rank(_index(spark, sf_dir), A.whole_queries(spark, sf_dir), prefix=False, fuzzy=False, phrase=False).drop("fuzzy")
 
 
 @query()
 def prefix_completions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = SE.query_terms(A.whole_queries(spark, sf_dir)).where(F.size("tokens") > 0)
-    return SE.completions(SE.build(A.document_entries(spark, sf_dir)).dictionary(), asked.select("qid", F.try_element_at("tokens", F.lit(-1)).alias("prefix")))
+    return SE.completions(_index(spark, sf_dir).dictionary(), asked.select("qid", F.try_element_at("tokens", F.lit(-1)).alias("prefix")))
 
 
 @query()
 def bm25f_prefix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(SE.build(A.document_entries(spark, sf_dir)), A.whole_queries(spark, sf_dir), fuzzy=False, phrase=False).drop("fuzzy")
+    return SE.rank(_index(spark, sf_dir), A.whole_queries(spark, sf_dir), fuzzy=False, phrase=False).drop("fuzzy")
 
 
 @query()
 def phrase_boost_rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(SE.build(A.document_entries(spark, sf_dir)), A.whole_queries(spark, sf_dir), prefix=False, fuzzy=False).drop("fuzzy")
+    return SE.rank(_index(spark, sf_dir), A.whole_queries(spark, sf_dir), prefix=False, fuzzy=False).drop("fuzzy")
 
 
 _TYPOS = "VALUES (1, 'eand'), (2, 'teh'), (3, 'thsoe'), (4, 'lemnet'), (5, 'ionsther'), (6, 'einhiet')"
@@ -154,7 +169,7 @@ nr AS (SELECT qid, token, term, df, row_number() OVER (PARTITION BY qid, token O
 @query(f"WITH {_DOCS}, {_NEAR} SELECT qid, token, term, CAST(df AS BIGINT) AS df, CAST(r AS INT) AS r FROM nr WHERE r <= 8")
 def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _typos(spark).select("qid", F.col("text").alias("token"))
-    return SE.corrections(SE.build(A.document_entries(spark, sf_dir)).dictionary(), wanted)
+    return SE.corrections(_index(spark, sf_dir).dictionary(), wanted)
 
 
 @query(f"""WITH {_DOCS}, {_NEAR},
@@ -163,7 +178,7 @@ w AS (SELECT * FROM ex WHERE qid IN (FROM hit) UNION ALL SELECT DISTINCT qid, te
 SELECT qid, CAST(r AS INT) AS rank, doc, score, CAST(total AS BIGINT) AS total, qid NOT IN (FROM hit) AS fuzzy
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r, count(*) OVER (PARTITION BY qid) AS total FROM s) WHERE r <= 10""")
 def bm25f_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(SE.build(A.document_entries(spark, sf_dir)), _typos(spark), prefix=False, phrase=False)
+    return SE.rank(_index(spark, sf_dir), _typos(spark), prefix=False, phrase=False)
 
 
 @query(r"""SELECT i, CAST(len(t) AS BIGINT) AS n, array_to_string(t, ' ') AS terms FROM (SELECT i, flatten(list_transform(regexp_extract_all(x, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai} ]+'),
@@ -179,12 +194,31 @@ def cjk_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = A.document_entries(spark, sf_dir)
     queries = A.whole_queries(spark, sf_dir)
-    index = SE.build(entries)
+    index = _index(spark, sf_dir)
     hits = SE.rank(index, queries)
     shaped = entries.select("doc", F.concat(F.lit("page:"), "doc").alias("id"), F.lit("page").alias("type"), F.concat(F.lit("/d"), "doc").alias("route"), "title", "content", X.excerpt(F.col("content")).alias("excerpt"))
     return RS.results(hits, shaped, SE.scored_terms(index, queries).withColumnRenamed("terms", "tokens"))
 
 
+@query(f"""WITH {_DOCS}, {_NEAR}, ex AS (SELECT m.qid, m.token AS term FROM m JOIN (SELECT DISTINCT term FROM p) p ON p.term = m.token)
+SELECT qid, term, NULL AS token FROM ex UNION ALL SELECT qid, term, CASE WHEN r = 1 THEN token END FROM nr WHERE r <= 8 AND qid NOT IN (SELECT qid FROM ex)""")
+def returned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each term that a query was scored with; ``token`` where it is the correction of one."""
+    found = SE.scored_terms(_index(spark, sf_dir), _typos(spark), prefix=False)
+    token = F.get(F.filter("corrections", lambda x: x["to"] == F.col("term")), F.lit(0))["token"]
+    return found.select("qid", "corrections", F.explode("terms").alias("term")).select("qid", "term", token.alias("token"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'Un <mark>Café</mark> &lt;ici&gt;', 'Un Café <ici>', '3-6'), (2, '<mark>abab</mark>', 'abab', '0-3'), (3, 'none', 'none', ''),
+ (4, '😀 <mark>zeb</mark>', '😀 zeb', '3-5'), (5, '', '', ''),
+ (6, '…' || repeat('x', 59) || ' <mark>needle</mark> ' || repeat('y', 59) || '…', '…' || repeat('x', 59) || ' needle ' || repeat('y', 59) || '…', '101-106')) t(i, html, text, ranges)""")
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "Un Café <ici>", ["cafe"]), (2, "abab", ["ab"]), (3, "none", ["x"]), (4, "😀 zeb", ["zeb"]), (5, None, ["x"]), (6, "x" * 100 + " needle " + "y" * 100, ["needle"])], "i int, t string, terms array<string>")
+    got = rows.select("i", RS.shaped("t", "terms").alias("s"))
+    ranges = F.array_join(F.transform("s.ranges", lambda x: F.concat_ws("-", x[0].cast("string"), x[1].cast("string"))), ",")
+    return got.select("i", F.col("s.html").alias("html"), F.col("s.text").alias("text"), ranges.alias("ranges"))
+
+
 # page graph -----------------------------------------------------------------------------------
 
 _GRAPH = """
@@ -388,6 +422,43 @@ def md_request_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SI.resolve_markdown(requests, pages, S.select_indexable(pages, EXCLUDE)).select("path", "kind", "status", "location")
 
 
+@query(f"""WITH {_GRAPH} SELECT route, route IN (SELECT route FROM leaf) AS page,
+ NOT contains(route, '/:') AND NOT contains(route, '/_') AND NOT EXISTS (SELECT 1 FROM br WHERE g.route = b OR starts_with(g.route, b || '/')) AS record FROM g""")
+def markdown_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.markdown_rule(A.page_graph(spark, sf_dir), EXCLUDE).select("route", "page", "record")
+
+
+@query("""SELECT * FROM (VALUES ('/fr/blogue', '/fr/blogue.md', '/fr/blogue'), ('/fr', '/fr/index.md', '/fr'), ('/', '/index.md', '/'), ('/blog/x', '/blog/x.md', '/blog/x'), ('/french', '/french.md', '/french')) t(path, markdown, back)""")
+def locale_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = spark.createDataFrame([(x,) for x in ("/fr/blogue", "/fr", "/", "/blog/x", "/french")], "path string")
+    own = F.array(F.lit("fr"), F.lit("de"))
+    made = paths.withColumn("markdown", R.markdown_path(F.col("path"), own))
+    return made.withColumn("back", R.page_path(F.col("markdown"), own))
+
+
+@query("""SELECT * FROM (VALUES ('/docs/index', true, '/docs', 'fr/search-index.json'), ('/index', true, '/', 'fr/search-index.json'), ('/docs/index', false, '/docs/index', 'fr/search-index.json'), ('/x', true, '/x', 'fr/search-index.json')) t(route, is_index, nav, file)""")
+def nav_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("/docs/index", True), ("/index", True), ("/docs/index", False), ("/x", True)], "route string, is_index boolean")
+    return rows.select("route", "is_index", R.nav_route(F.col("route"), F.col("is_index")).alias("nav"), R.search_index_filename(F.lit("fr"), F.lit("en")).alias("file"))
+
+
+@query("""SELECT * FROM (VALUES (1, true, true, '', true, 5, ''), (2, false, false, '', false, 5, ''), (3, true, false, '/kb,/a', true, 3, 'exclud'), (4, true, true, '/x', false, 5, '')) t(i, idx, md, exclude, branches, least, unknown)""")
+def agents_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [None, {"agents": False}, {"agents": {"markdown": False, "exclude": [" kb/ ", "", "/a"], "branchMinPages": 3, "exclud": 1}}, {"agents": {"exclude": "x", "branchIndexes": False, "branchMinPages": "7"}}]
+    rows = []
+    for i, c in enumerate(given, 1):
+        a = CF.agents_config(c)
+        rows.append((i, a["index"], a["markdown"], ",".join(a["exclude"]), a["branchIndexes"], a["branchMinPages"], ",".join(CF.unknown_agents_keys(c))))
+    return spark.createDataFrame(rows, "i int, idx boolean, md boolean, exclude string, branches boolean, least int, unknown string")
+
+
+@query("""SELECT * FROM (VALUES (1, true, 'pages,sections,headings,paragraphs,links,lists', ''), (2, false, 'pages,sections,headings,paragraphs,lists', '/kb')) t(i, enabled, included, excluded)""")
+def search_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [None, {"search": {"enabled": False, "include": {"links": False}, "exclude": {"routes": ["/kb"]}}}]
+    rows = [(i, c["enabled"], ",".join(k for k, v in c["include"].items() if v), ",".join(c["exclude"]["routes"])) for i, c in enumerate(map(CF.search_config, given), 1)]
+    return spark.createDataFrame(rows, "i int, enabled boolean, included string, excluded string")
+
+
 # entries, records, corpus -----------------------------------------------------------------------
 
 _CUT = r"""CASE WHEN length(l) <= 160 THEN l ELSE trim(substr(l, 1, CASE WHEN instr(substr(l, 1, 161), ' ') > 0 AND length(substr(l, 1, 161)) - instr(reverse(substr(l, 1, 161)), ' ') >= 80 THEN length(substr(l, 1, 161)) - instr(reverse(substr(l, 1, 161)), ' ') ELSE 160 END)) || '…' END"""
@@ -398,40 +469,89 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
-_ENTRY = f"""{_WEB}, t AS (SELECT page_id, 'page:' || route AS id, 'page' AS type, title, CASE WHEN route = '/' THEN 1.0 ELSE 0.8 END AS weight FROM p),
-s AS (SELECT page_id, 'section:' || route || ':article' AS id, 'section' AS type, h1 AS title, 0.6 AS weight FROM p)"""
+_ENTRY = rf"""{_WEB}, w AS (SELECT *, trim(regexp_replace(regexp_replace(article, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS words, trim(regexp_replace(h1, '\s+', ' ', 'g')) AS head FROM p),
+t AS (SELECT page_id, 'page:' || route AS id, 'page' AS type, route, title, title AS content, '' AS description, NULL AS sectionId, NULL AS anchor, NULL AS component, NULL AS pageTitle, NULL AS excerpt, CASE WHEN route = '/' THEN 1.0 ELSE 0.8 END AS weight FROM w WHERE title <> ''),
+c AS (SELECT *, trim(head || ' ' || words) AS l FROM w),
+s AS (SELECT page_id, 'section:' || route || ':article' AS id, 'section' AS type, route, head AS title, l AS content, NULL AS description, 'article' AS sectionId, 'section-article' AS anchor, 'Article' AS component, title AS pageTitle, {_CUT} AS excerpt, 0.6 AS weight FROM c
+  UNION ALL SELECT page_id, 'section:' || route || ':more', 'section', route, 'More', '', NULL, 'more', 'section-more', 'List', title, '', 0.6 FROM w WHERE page_id % 3 <> 0)"""
 
 
-def _page_entries(p: DataFrame) -> DataFrame:
-    return p.where("title <> ''").select("page_id", F.concat(F.lit("page:"), "route").alias("id"), F.lit("page").alias("type"), "title", F.when(F.col("route") == "/", F.lit(1.0)).otherwise(F.lit(0.8)).alias("weight"))
+def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every web page as a site of its own, with an article that holds a promotion, and a list that is a draft on every third."""
+    p = A.web_pages(spark, sf_dir).withColumn("site_id", F.concat(F.lit("p"), "page_id"))
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    pages = p.select("site_id", F.col("page_id").cast("long").alias("ord"), "route", "title", none.alias("label"), none.alias("description"), no.alias("hidden"), no.alias("noindex"), no.alias("has_content"), no.alias("is_dynamic"), no.alias("knowledge"))
+    flat = lambda c: F.btrim(F.regexp_replace(c, r"\s+", " "))
+    text = lambda t: F.array(F.struct(F.lit("text").alias("type"), t.alias("text")))
+    level = F.struct(F.lit(1).alias("level"))
+    node = lambda kind, t: F.struct(F.lit(kind).alias("type"), level.alias("attrs"), text(t).alias("content"))
+    doc = F.to_json(F.struct(F.lit("doc").alias("type"), F.array(node("heading", flat("h1")), node("paragraph", flat(F.regexp_replace("article", "<[^>]*>", " ")))).alias("content")))
+    one = lambda path, name, component, doc, hidden, title: p.select(
+        "site_id", "route", F.array(*[F.lit(x) for x in path]).alias("path"), hidden.alias("hidden"), F.lit(component).alias("component"), F.lit(name).alias("section_id"), F.lit(f"section-{name}").alias("anchor"), F.lit(title).cast("string").alias("param_title"), doc.alias("doc"))
+    return pages, one([1], "article", "Article", doc, no, None).unionByName(one([1, 1], "promo", "Promo", doc, no, None)).unionByName(one([2], "more", "List", none, F.col("page_id") % 3 == 0, "More"))
 
 
-def _section_entries(p: DataFrame) -> DataFrame:
-    return p.select("page_id", F.concat(F.lit("section:"), "route", F.lit(":article")).alias("id"), F.lit("section").alias("type"), F.col("h1").alias("title"), F.lit(0.6).alias("weight"))
+_COLUMNS = ("id", "type", "route", "title", "content", "description", "sectionId", "anchor", "component", "pageTitle", "excerpt", "weight")
+_LIST = "page_id, id, type, route, title, content, description, sectionId, anchor, component, pageTitle, excerpt, CAST(weight AS DOUBLE) AS weight"
 
 
-@query(f"WITH {_ENTRY} SELECT page_id, id, type, title, CAST(weight AS DOUBLE) AS weight FROM t WHERE title <> ''")
+@query(f"WITH {_ENTRY} SELECT {_LIST} FROM t")
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_entries(A.web_pages(spark, sf_dir))
+    return EN.of_pages(_site(spark, sf_dir)[0]).select(F.col("ord").alias("page_id"), *_COLUMNS)
 
 
-@query(f"WITH {_ENTRY} SELECT page_id, id, type, title, CAST(weight AS DOUBLE) AS weight FROM s")
+@query(f"WITH {_ENTRY} SELECT {_LIST} FROM s")
 def section_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _section_entries(A.web_pages(spark, sf_dir))
+    return EN.of_sections(*_site(spark, sf_dir), excluded_components=["Promo"]).select(F.col("ord").alias("page_id"), *_COLUMNS)
 
 
-@query(f"WITH {_ENTRY} SELECT type, CAST(count(*) AS BIGINT) AS count FROM (SELECT * FROM t WHERE title <> '' UNION ALL SELECT * FROM s) GROUP BY type")
+@query(f"WITH {_ENTRY}, r AS (SELECT 'record:parts:' || p_partkey AS id, 'record' AS type, p_name AS title FROM part) SELECT id, type, title FROM t UNION ALL SELECT id, type, title FROM s UNION ALL SELECT * FROM r")
 def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.web_pages(spark, sf_dir)
-    return _page_entries(p).unionByName(_section_entries(p)).groupBy("type").agg(F.count("*").alias("count"))
+    found = EN.extract(*_site(spark, sf_dir), excluded_components=["Promo"])
+    return found.unionByName(_parts(spark, sf_dir), allowMissingColumns=True).select("id", "type", "title")
+
 
+@query(f"WITH {_ENTRY} SELECT 'p' || page_id AS site_id, '1.0' AS version, 'en' AS locale, CAST(count(*) AS BIGINT) AS count FROM (SELECT page_id FROM t UNION ALL SELECT page_id FROM s) GROUP BY page_id")
+def index_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EN.envelope(EN.extract(*_site(spark, sf_dir), excluded_components=["Promo"]), "en")
 
-@query("SELECT p_partkey, 'record:parts:' || replace(p_name, ' ', '-') || '-' || p_partkey AS id, p_name AS title, p_name || ' ' || p_brand || ' ' || p_type AS content, '/parts/' || replace(p_name, ' ', '%20') || '%20' || p_partkey AS route, 0.7 AS weight FROM (SELECT * REPLACE (lower(p_name) AS p_name) FROM part)")
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = A.table(spark, sf_dir, "part")
+    record = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.lit("/img/x.png").alias("photo"), F.col("p_size").alias("size")))
+    return T.record_entries(part.select("p_partkey", record.alias("record")), "parts", {"route": "/parts/"})
+
+
+@query("""SELECT p_partkey, 'record:parts:' || p_partkey AS id, '/parts/' || p_partkey AS route, p_name AS title, p_name || ' ' || p_brand AS content, p_name || ' ' || p_brand AS excerpt, 0.7::DOUBLE AS weight,
+ '{"title": "' || p_name || '", "brand": "' || p_brand || '", "photo": "/img/x.png", "size": ' || p_size || '}' AS item FROM part""")
 def record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.table(spark, sf_dir, "part").withColumn("name", F.lower("p_name"))
-    slug = R.slugify(F.concat_ws(" ", "name", "p_partkey"))
-    return p.select("p_partkey", F.concat(F.lit("record:parts:"), slug).alias("id"), F.col("name").alias("title"), F.concat_ws(" ", "name", "p_brand", "p_type").alias("content"),
-                    R.fill_pattern(F.lit("/parts/:slug"), F.concat_ws(" ", "name", "p_partkey")).alias("route"), F.lit(0.7).alias("weight"))
+    return _parts(spark, sf_dir).select("p_partkey", "id", "route", "title", "content", "excerpt", "weight", "item")
+
+
+_RECORDS = {
+    1: ({"$name": "a post", "title": "R & D", "image": "/i.png", "n": 3.0}, {"pattern": "/m/:slug"}),
+    2: ({"title": "R & D  lab", "link": "https://x.org"}, {"route": "/lab"}),
+    3: ({"title": "no page"}, {}),
+    4: ({"$name": "k", "hero": {"title": "Hi", "count": 3.0, "on": True}, "list": [{"title": "There", "tags": ["a", "b"]}]}, {"route": "/all/"}),
+    5: ({"$name": "z", "name": "Name", "about": "x", "description": "word " * 50}, {"route": "/z", "search": {"fields": ["about", "name"], "weight": 2}}),
+    6: ({"$name": "q", "title": "own", "route": "/own/place"}, {}),
+    7: ({"title": "t", "handle": "h/1"}, {"pattern": "/p/:h", "field": "handle"}),
+    8: ({"title": "t"}, {"pattern": "/:a/:b"}),
+}
+
+
+@query("""SELECT * FROM (VALUES (1, 'record:g:a post', '/m/a%20post', 'R & D', 'R & D', 'R & D', 0.7::DOUBLE, '{"title": "R & D", "n": 3}'),
+ (2, 'record:g:r-&-d-lab', '/lab/r-&-d-lab', 'R & D  lab', 'R & D  lab', 'R & D lab', 0.7, '{"title": "R & D  lab", "link": "https://x.org"}'),
+ (4, 'record:g:k', '/all/k', 'Hi', 'Hi 3 There a b', 'Hi 3 There a b', 0.7, '{"title": "Hi", "count": 3, "on": true}'),
+ (5, 'record:g:z', '/z/z', 'Name', 'x Name', repeat('word ', 31) || 'word…', 2.0, '{"name": "Name", "about": "x"}'),
+ (6, 'record:g:q', '/own/place', 'own', 'own', 'own', 0.7, '{"title": "own"}'),
+ (7, 'record:g:t', '/p/h%2F1', 't', 't h/1', 't h/1', 0.7, '{"title": "t", "handle": "h/1"}')) t(i, id, route, title, content, excerpt, weight, item)""")
+def record_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [T.record_entries(spark.createDataFrame([(i, json.dumps(r))], "i int, record string"), "g", c) for i, (r, c) in _RECORDS.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("i", "id", "route", "title", "content", "excerpt", "weight", "item")
 
 
 _TURN = """b AS (SELECT conv_id, turn, trim('## ' || role || chr(10) || chr(10) || text, ' ' || chr(10)) AS md FROM conversations)"""
@@ -477,14 +597,65 @@ def escaped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RICH = """{"type":"doc","content":[{"type":"heading","attrs":{"level":1},"content":[{"type":"text","text":"Gala"}]},{"type":"paragraph","content":[{"type":"text","text":"See "},{"type":"text","text":"tickets","marks":[{"type":"link","attrs":{"href":"/t"}}]},{"type":"inset_ref","attrs":{"alt":"a map"}}]},{"type":"codeBlock","content":[{"type":"text","text":"x = 1"}]}]}"""
 
 
-@query()
+@query("""SELECT 'Gala' AS title, 'Gala | See ticketsa map | tickets' AS parts, '# Gala' || chr(10) || chr(10) || 'See [tickets](/t)a map' || chr(10) || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' AS markdown""")
 def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = spark.createDataFrame([(_RICH,)], "doc string")
     return doc.select(T.extract_udf("doc").alias("e"), T.markdown_udf("doc").alias("markdown")).select("e.title", F.concat_ws(" | ", "e.parts").alias("parts"), "markdown")
 
 
-@query()
-def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = A.table(spark, sf_dir, "part")
-    record = F.to_json(F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.lit("/img/x.png").alias("photo"), F.col("p_size").alias("size")))
-    return part.select("p_partkey", T.record_entry_udf(record, F.lit("parts")).alias("e"), T.record_markdown_udf(record).alias("markdown")).select("p_partkey", "e.*", "markdown")
+_BODY = {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "words"}]}]}
+_CHART = {"type": "doc", "content": [{"type": "chart"}]}
+
+
+@query("""SELECT * FROM (VALUES (1, 'words'), (2, 'words'), (3, '```json' || chr(10) || '{' || chr(10) || '  "a": 1' || chr(10) || '}' || chr(10) || '```' || chr(10) || chr(10) || '<!-- b.c -->' || chr(10) || chr(10) || 'words'),
+ (4, '```json' || chr(10) || '[' || chr(10) || '  1,' || chr(10) || '  "x"' || chr(10) || ']' || chr(10) || '```'), (5, '````json' || chr(10) || '"a ``` b"' || chr(10) || '````'),
+ (6, '```json' || chr(10) || '{' || chr(10) || '  "x": {}' || chr(10) || '}' || chr(10) || '```'), (7, 'kept as JSON')) t(i, markdown)""")
+def record_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = [{"content": _BODY}, {"body": {"content": _BODY}}, {"a": 1.0, "b": {"c": _BODY}}, [1, "x"], "a ``` b", {"x": {}}, {"c": _CHART}]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values, 1)], "i int, value string").select("i", T.record_markdown_udf("value").alias("m"))
+    return rows.select("i", F.when(F.col("m").contains('"chart"') & F.col("m").startswith("```json"), "kept as JSON").otherwise(F.col("m")).alias("markdown"))
+
+
+@query("""SELECT '/p' AS route, 'first' || chr(10) || chr(10) || '<!-- a-b -->' || chr(10) || chr(10) || '```json' || chr(10) || '1' || chr(10) || '```' || chr(10) || chr(10) || 'second' || chr(10) || chr(10) || '<!-- a-b: as above -->' || chr(10) || chr(10) || '<!-- t -->' || chr(10) || chr(10) || '<!-- t.content -->' || chr(10) || chr(10) || 'words' || chr(10) || chr(10) || 'words' AS markdown""")
+def section_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = spark.createDataFrame([("s", "/p", [1], "one", "one", "first"), ("s", "/p", [2], "two", "two", "second"), ("s", "/p", [3], "two", "two", " ")], "site_id string, route string, path array<int>, anchor string, dom_id string, markdown string")
+    shown = spark.createDataFrame([("s", "/p", "one", 0, "a--b", "1"), ("s", "/p", "one", 1, "none", "null"), ("s", "/p", "two", 2, "a--b", "1"), ("s", "/p", "two", 3, "t", json.dumps({"content": _BODY})), ("s", "/p", "gone", 4, "x", "2")], "site_id string, route string, dom_id string, pos int, name string, value string")
+    record = spark.createDataFrame([("s", "/p", json.dumps({"content": _BODY}))], "site_id string, route string, value string")
+    return C.with_shown_records(sections, shown, record).select("route", "markdown")
+
+
+_CORPUS = f"{_GRAPH}, {_KNOWN}, z AS (SELECT ord, route, title, is_knowledge FROM k WHERE route IN (SELECT route FROM leaf) OR (is_knowledge AND has_content IS DISTINCT FROM false AND NOT contains(route, '/:') AND NOT contains(route, '/_') AND NOT (route = '/r1' OR starts_with(route, '/r1/'))))"
+
+
+@query(f"WITH {_CORPUS} SELECT ord, route, title, is_knowledge AS knowledge, CAST(5 AS BIGINT) AS lines, '# ' || title || chr(10) || 'text' || chr(10) || chr(10) || 'more' || chr(10) || 'of it' AS markdown, title || ':1-2 :4-5' AS segments FROM z")
+def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = A.page_graph(spark, sf_dir)
+    one = lambda n, text: pages.select("site_id", "route", F.array(F.lit(n)).alias("path"), F.lit(None).cast("string").alias("anchor"), text.alias("markdown"))
+    sections = one(1, F.concat(F.lit("# "), "title", F.lit("\ntext "))).unionByName(one(2, F.lit("  "))).unionByName(one(3, F.lit("more\nof it")))
+    corpus = C.build_corpus(pages, sections, EXCLUDE, knowledge=True)
+    listed = C.corpus_manifest(corpus).select("ord", F.array_join(F.transform("segments", lambda x: F.concat(F.coalesce(x["title"], F.lit("")), F.lit(":"), x["start_line"].cast("string"), F.lit("-"), x["end_line"].cast("string"))), " ").alias("segments"))
+    return corpus.select("ord", "route", "title", "knowledge", "lines", "markdown").join(listed, "ord")
+
+
+_DETAIL = [("/", "home", None, None, 0), ("/blog", None, None, None, 1), ("/blog/:slug", None, None, None, 2), ("/team", "people", "/team.json", None, 3), ("/team/:who", None, None, None, 4), ("/deep", None, None, None, 5), ("/deep/er", None, None, None, 6), ("/deep/er/:id", None, None, None, 7), ("/x/:a/:b", "people", None, None, 8), ("/staff/:who", "people", None, None, 9)]
+
+
+@query("SELECT * FROM (VALUES ('home', '/blog', '/blog/:slug', NULL, 'slug'), ('people', '/team', '/team/:who', '/team.json', NULL)) t(name, route, pattern, path, field)")
+def record_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.createDataFrame([("s", *r) for r in _DETAIL], "site_id string, route string, query string, fetch_path string, parent string, ord long")
+    queries = spark.createDataFrame([("s", "home", "https://x.org", "slug"), ("s", "people", None, None)], "site_id string, name string, url string, field string")
+    return S.record_routes(pages, queries).drop("site_id")
+
+
+@query("SELECT * FROM (VALUES (1, 'own'), (2, 'social'), (3, 'summary'), (4, NULL)) t(i, description)")
+def page_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, " own ", "social", "summary"), (2, " ", "social", "summary"), (3, None, "", "summary"), (4, None, None, " ")], "i int, a string, b string, c string")
+    return rows.select("i", C.description(F.col("a"), F.col("b"), F.col("c")).alias("description"))
+
+
+@query("SELECT * FROM (VALUES ('/old.md', 'redirect', 302, '/new.md?a=1#x'), ('/gone.md', 'redirect', 302, '/nowhere'), ('/out.md', 'redirect', 302, 'https://x.org/y'), ('/new.md', 'page', 200, NULL), ('/b/anything.md', 'record', 200, NULL), ('/no.md', 'notFound', 404, NULL), ('/new', NULL, NULL, NULL)) t(path, kind, status, location)")
+def md_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("/old", "/new?a=1#x"), ("/gone", "/nowhere"), ("/out", "https://x.org/y"), ("/new", None), ("/b/:id", None)]
+    pages = spark.createDataFrame([("s", i, r, to, None, None) for i, (r, to) in enumerate(rows)], "site_id string, ord long, route string, redirect string, has_content boolean, is_dynamic boolean")
+    asked = spark.createDataFrame([("s", p) for p in ("/old.md", "/gone.md", "/out.md", "/new.md", "/b/anything.md", "/no.md", "/new")], "site_id string, path string")
+    return SI.resolve_markdown(asked, pages, pages.where("redirect is null")).select("path", "kind", "status", "location")

@@ -111,10 +111,11 @@ def test_rich_text():
 
 
 def test_records():
-    person = {"$name": "ada", "name": "Ada Okafor", "department": "Biology", "image": "/a.png", "site": "https://x.org"}
-    assert T.record_text(person) == "Ada Okafor Biology"
-    entry = T.record_entry(person, "people")
-    assert entry["id"] == "record:people:ada" and entry["title"] == "Ada Okafor"
+    boat = {"$name": "heron", "name": "Grey Heron", "harbour": "North quay", "image": "/a.png", "site": "https://x.org"}
+    assert T.record_text(boat) == "Grey Heron North quay"
+    entry = T.record_entry(boat, "boats", {"route": "/boats"})
+    assert entry["id"] == "record:boats:heron" and entry["title"] == "Grey Heron" and entry["route"] == "/boats/heron"
+    assert T.record_entry(boat, "boats") is None and T.words_of({"content": [{"type": "text", "text": "a "}, {"type": "text", "text": "b"}]}) == "a b"
     whole = {"$name": "n", "hero": {"title": "Hi", "count": 3}, "list": [{"title": "There"}]}
     assert T.is_whole(whole) and T.record_text(whole) == "Hi 3 There"
     body = {"type": "doc", "content": [{"type": "paragraph", "content": [text("words")]}]}
@@ -130,3 +131,30 @@ def test_origins_and_excerpts(spark):
     long = "word " * 60
     cut = spark.createDataFrame([(long,), ("a  b",), ("x" * 200,)], "t string").select(X.excerpt(F.col("t")).alias("e")).collect()
     assert cut[0]["e"] == ("word " * 32).strip() + "…" and cut[1]["e"] == "a b" and cut[2]["e"] == "x" * 160 + "…"
+
+
+def test_sitemap_languages_domains_index_pages_and_records(spark):
+    rows = [("/", {}), ("/docs/index", {}), ("/about", {}), ("/blog/:slug", {"is_dynamic": True}), ("/h/:x", {"is_dynamic": True, "hidden": True})]
+    pages = graph(spark, rows).withColumns({c: F.lit(None).cast("string") for c in ("canonical", "changefreq", "priority")}).withColumns({"locale": F.lit("fr"), "lastmod": F.lit("2024-01-02T03"), "is_index": F.col("route") == "/docs/index"})
+    sites = spark.createDataFrame([("s", "https://a.org/", "en", False, True)], "site_id string, address string, default_locale string, noindex boolean, trailing_slash boolean")
+    locales = spark.createDataFrame([("s", "en", 0, None), ("s", "fr", 1, None), ("s", "de", 2, "https://a.de")], "site_id string, locale string, n int, domain string")
+    words = spark.createDataFrame([("s", "fr", "/about", "/propos")], "site_id string, locale string, route string, translated string")
+    records = spark.createDataFrame([("s", 0, "record", "/blog/one", "One", ""), ("s", 1, "record", "/h/two", "Two", ""), ("s", 2, "page", "/blog/x", "", "")], "site_id string, ord long, type string, route string, title string, excerpt string")
+    got = SI.sitemap_entries(pages, sites, locales, words, records).orderBy("ord").collect()
+    assert [(r["loc"], r["lastmod"]) for r in got] == [("https://a.org/fr/", "2024-01-02"), ("https://a.org/fr/docs/", "2024-01-02"), ("https://a.org/fr/propos/", "2024-01-02"), ("https://a.org/fr/blog/one/", None)]
+    assert [(a["hreflang"], a["url"]) for a in got[2]["alternates"]] == [("en", "https://a.org/about/"), ("fr", "https://a.org/fr/propos/"), ("de", "https://a.de/about"), ("x-default", "https://a.org/about/")]
+
+
+def test_site_index_of_a_language_with_records(spark):
+    pages = graph(spark, [("/", {}), ("/about", {})])
+    sites = spark.createDataFrame([("s", None, None, "https://a.org", "fr", "en")], "site_id string, title string, description string, address string, locale string, default_locale string")
+    words = spark.createDataFrame([("s", "fr", "/about", "/propos")], "site_id string, locale string, route string, translated string")
+    records = spark.createDataFrame([("s", 0, "record", "/blog/one", "One", "First\nline")], "site_id string, ord long, type string, route string, title string, excerpt string")
+    got = SI.site_index(pages, sites, translations=words, records=records).first()["document"]
+    assert got == "# Site\n\n## Pages\n\n- [Home](https://a.org/fr/index.md)\n- [about](https://a.org/fr/propos.md)\n- [One](https://a.org/fr/blog/one.md): First line\n"
+
+
+def test_table_headers_are_no_search_text():
+    cell = lambda kind: {"type": kind, "content": [{"type": "paragraph", "content": [text(kind)]}]}
+    doc = {"type": "doc", "content": [{"type": "table", "content": [{"type": "tableRow", "content": [cell("tableHeader"), cell("tableCell")]}]}]}
+    assert T.extract(doc) == (None, ["tableCell"])
