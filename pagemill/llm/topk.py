@@ -7,12 +7,16 @@ of s * ((mean - mean')^2 + (deviation - deviation')^2), so their inner product,
 Pairs whose bound is below the query's k-th score so far go, level by level; the exact product is
 computed for what survives. Ties at the bound survive, so results are exact.
 
-Queries are dealt into chunks by hash and a chunk is sent to all tasks that read candidates; its
-size is bounded by ``CHUNK`` rows in the mean. A task returns k rows a query at most.
+Queries are written once, dealt into chunks by hash, and a chunk is sent to all tasks that read
+candidates; its size is bounded by ``CHUNK`` rows in the mean (8 MiB at 64 components), and candidates
+are scanned once a chunk. A task computes the statistics of a block of candidates once for all blocks
+of queries of its chunk, and returns k rows a query at most. The work still is queries times
+candidates at the coarsest level, as an exact search without an index needs.
 
 Defined results: vectors that are null or hold a null, infinite or not-a-number component take no
 part; vectors of different lengths have no score; a query's own id is no candidate, even if it
-occurs more than once; ties go to the smaller id; rows with null ids take no part.
+occurs more than once; ties go to the smaller id; rows with null ids take no part; an empty table
+gives an empty table; repeated candidates are candidates of their own; no other column is read.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage, released
+
 SCALE = 1024
 LEVELS = (1, 4, 16)
-CHUNK = 2048
+CHUNK = 16_384
+#: Queries and candidates that are met at a time.
 BLOCK = 2048
 
 
@@ -89,14 +96,13 @@ class Best:
         self.least[self.at[last]] = self.scores[last]
 
 
-def search(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, levels: tuple[int, ...] = LEVELS) -> None:
-    """Meets the queries ``q`` with a block of candidates."""
+def search(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, q_stats: list[np.ndarray], x_stats: list[np.ndarray]) -> None:
+    """Meets the queries ``q`` with a block of candidates; statistics are those of ``LEVELS``."""
     own = best.queries
     slack = 1e-6 * (1 + np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :].max(initial=0))
     floor = best.least[:, None] - slack
     alive = None
-    for n in levels:
-        a, b = statistics(q, n), statistics(x, n)
+    for a, b in zip(q_stats, x_stats, strict=True):
         if alive is None or len(alive[0]) > 0.1 * len(q) * len(x):
             open_ = a @ b.T >= floor
             if alive is not None:
@@ -121,25 +127,35 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     queries = df.where(is_query).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null").dropDuplicates(["id", "v"])
     chunks = max(1, math.ceil(queries.count() / chunk))
+    part = F.pmod(F.xxhash64("id"), F.lit(chunks))
+    queries = cut_lineage(queries.withColumn("part", part).repartition("part").sortWithinPartitions("part"))
     schema = "query_id long, vec_id long, score long"
     found = spark.createDataFrame([], schema)
     for c in range(chunks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).toArrow()
+        own = queries.where(F.col("part") == c).select("id", "v").toArrow()
         if not own.num_rows:
             continue
         sent = spark.sparkContext.broadcast(quantised(own["id"].combine_chunks(), own["v"].combine_chunks()))
 
         def partial(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            mine = {d: (ids, q, Best(ids, k)) for d, (ids, q) in sent.value.items() if len(ids)}
+            levels = lambda x: [statistics(x, n) for n in LEVELS]
+            mine: dict[int, list] = {}
+            for d, (ids, q) in sent.value.items():
+                for at in range(0, len(ids), BLOCK):
+                    some = q[at : at + BLOCK]
+                    mine.setdefault(d, []).append((Best(ids[at : at + BLOCK], k), some, levels(some)))
             for batch in batches:
                 for d, (ids, x) in quantised(batch["id"], batch["v"]).items():
-                    if d in mine:
-                        for at in range(0, len(ids), BLOCK):
-                            search(mine[d][2], mine[d][1], ids[at : at + BLOCK], x[at : at + BLOCK])
-            for ids, _, best in mine.values():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[best.at]), pa.array(best.ids), pa.array(best.scores)], ["query_id", "vec_id", "score"])
-
-        found = found.unionAll(rows.mapInArrow(partial, schema))
+                    for at in range(0, len(ids) if d in mine else 0, BLOCK):
+                        block = x[at : at + BLOCK]
+                        of_block = levels(block)
+                        for best, q, of_q in mine[d]:
+                            search(best, q, ids[at : at + BLOCK], block, of_q, of_block)
+            for blocks in mine.values():
+                for best, _, _ in blocks:
+                    yield pa.RecordBatch.from_arrays([pa.array(best.queries[best.at]), pa.array(best.ids), pa.array(best.scores)], ["query_id", "vec_id", "score"])
+
+        found = found.unionAll(rows.mapInArrow(released(partial), schema))
     # a query id that occurs with several vectors is several queries with one answer list
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

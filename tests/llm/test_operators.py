@@ -189,7 +189,8 @@ def test_mix_expands_copies(spark):
     assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
 
 
-def test_top_k_is_exact(spark):
+def test_top_k_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 5)  # several blocks of queries and candidates
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(400)] + [(400, None), (401, [1.0, None] + [0.0] * 10), (402, [float("nan")] * 12), (403, [1.0, 2.0]), (500, [0.0] * 12), (501, [0.0] * 12)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5, chunk=8).collect()
@@ -199,6 +200,10 @@ def test_top_k_is_exact(spark):
         best = sorted(((-int(fine[q] @ fine[i]), i) for i in fine if i != q))[:5]
         want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+    few = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (None, [9.0]), (2, [0.5])], "vec_id long, embedding array<float>")
+    got = topk.top_k(few, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1024 * 1024), (1, 1024 * 1024), (2, 1024 * 512)]
+    assert topk.top_k(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
 def test_bpe_equals_the_library_and_round_trips(spark, monkeypatch):
