@@ -68,7 +68,7 @@ s AS (
 
 @query(f"WITH {_DOCS} SELECT doc, term, CAST(sum(tf_title) AS BIGINT) AS tf_title, CAST(sum(tf_body) AS BIGINT) AS tf_body FROM p GROUP BY doc, term")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).postings()
+    return _index(spark, sf_dir).postings.select("doc", "term", "tf_title", "tf_body")
 
 
 @query(f"SELECT doc_id, CAST(len({_T('text')}) AS BIGINT) AS n_terms, array_to_string(list_sort(list_distinct({_T('text')})), ' ') AS terms FROM documents")

@@ -11,13 +11,13 @@ from ..operators import search
 
 
 def index_stream(entries: DataFrame, path: str, upsert: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
-    """A writer that adds the postings of every micro-batch of entries under ``path``.
+    """A writer that adds an index of every micro-batch of entries under ``path``, as ``search.open_index`` reads it.
 
     A batch that is repeated after a failure overwrites its own folder, so each counts once.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        search.build(batch).postings().write.mode("overwrite").parquet(f"{path}/batch={number}")
+        search.build(batch, f"{path}/batch={number}")
         if upsert:
             upsert(batch, number)
 

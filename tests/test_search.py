@@ -135,3 +135,13 @@ def test_whole_texts_are_ranked_against_brute_force(spark, tmp_path):
         assert [r["score"] for r in got] == pytest.approx([s for _, s in want], abs=2e-6)
     # document 1 holds none of the first three words
     assert {r["doc"] for r in run("search_results")} == {0, 1, 2, 3, 4}
+
+
+def test_stream_of_entries_is_indexed(spark, tmp_path):
+    from pagemill.streaming import index_stream
+
+    entries(spark, PRICING).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc long, title string, content string, weight double").parquet(f"{tmp_path}/in")
+    index_stream(stream, f"{tmp_path}/index").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(60)
+    index = SE.open_index(spark, f"{tmp_path}/index/batch=0")
+    assert index.n == 3 and index.postings.where("term = 'pricing'").count() == 2
