@@ -56,9 +56,9 @@ p AS (SELECT term, doc, sum(t) AS tf_title, sum(b) AS tf_body FROM x GROUP BY te
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 len AS (SELECT doc, len(tt) AS lt, len(bt) AS lb FROM d),
 st AS (SELECT count(*) AS n, avg(lt) AS mt, avg(lb) AS mb FROM len)"""
-_QUERIES = r"""
-q AS (SELECT item_id AS qid, trim(array_to_string(regexp_split_to_array(regexp_replace(text, '[^\p{L} ]+', ' ', 'g'), ' +')[1:3], ' ')) AS text FROM benchmark),
-qt AS (SELECT qid, text, """ + _T("text") + """ AS ts FROM q)"""
+_QUERIES = f"""
+q AS (SELECT item_id AS qid, text FROM benchmark),
+qt AS (SELECT qid, text, {_T("text")} AS ts FROM q)"""
 _SCORE = """
 s AS (
   SELECT qid, doc, round(sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)) * 0.6, 6) AS score
@@ -129,30 +129,6 @@ def phrase_boost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.rank(index, A.benchmark_queries(spark, sf_dir), prefix=False, fuzzy=False).drop("fuzzy")
 
 
-# The four above rank the first three words, as their SQL does; these rank whole texts.
-
-
-@query()
-def bm25f_batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(_index(spark, sf_dir), A.whole_queries(spark, sf_dir), prefix=False, fuzzy=False, phrase=False).drop("fuzzy")
-
-
-@query()
-def prefix_completions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = SE.query_terms(A.whole_queries(spark, sf_dir)).where(F.size("tokens") > 0)
-    return SE.completions(_index(spark, sf_dir).dictionary(), asked.select("qid", F.try_element_at("tokens", F.lit(-1)).alias("prefix")))
-
-
-@query()
-def bm25f_prefix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(_index(spark, sf_dir), A.whole_queries(spark, sf_dir), fuzzy=False, phrase=False).drop("fuzzy")
-
-
-@query()
-def phrase_boost_rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.rank(_index(spark, sf_dir), A.whole_queries(spark, sf_dir), prefix=False, fuzzy=False).drop("fuzzy")
-
-
 _TYPOS = "VALUES (1, 'eand'), (2, 'teh'), (3, 'thsoe'), (4, 'lemnet'), (5, 'ionsther'), (6, 'einhiet')"
 
 
@@ -193,7 +169,7 @@ def cjk_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = A.document_entries(spark, sf_dir)
-    queries = A.whole_queries(spark, sf_dir)
+    queries = A.benchmark_queries(spark, sf_dir)
     index = _index(spark, sf_dir)
     hits = SE.rank(index, queries)
     shaped = entries.select("doc", F.concat(F.lit("page:"), "doc").alias("id"), F.lit("page").alias("type"), F.concat(F.lit("/d"), "doc").alias("route"), "title", "content", X.excerpt(F.col("content")).alias("excerpt"))

@@ -17,13 +17,7 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 3) -> DataFrame:
-    """The first words of every benchmark item as a query."""
-    first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"[^\p{L} ]+", " "), " +"), 1, words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.btrim(first).alias("text"))
-
-
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of every benchmark item as a query."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 

@@ -128,8 +128,8 @@ def test_whole_texts_are_ranked_against_brute_force(spark, tmp_path):
 
     exact = dict.fromkeys(asked.split(), 1.0)
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    assert sorted((r["term"], r["df"]) for r in run("prefix_completions_whole")) == [("wall", 2), ("wallpaper", 1)]
-    for name, want in [("bm25f_batch_whole", brute(exact, False)), ("bm25f_prefix_whole", brute(exact | {"wallpaper": 0.5}, False)), ("phrase_boost_rank_whole", brute(exact, True))]:
+    assert sorted((r["term"], r["df"]) for r in run("prefix_completions")) == [("wall", 2), ("wallpaper", 1)]
+    for name, want in [("bm25f_batch", brute(exact, False)), ("bm25f_prefix", brute(exact | {"wallpaper": 0.5}, False)), ("phrase_boost_rank", brute(exact, True))]:
         got = sorted(run(name), key=lambda r: r["rank"])
         assert [r["doc"] for r in got] == [i for i, _ in want], name
         assert [r["score"] for r in got] == pytest.approx([s for _, s in want], abs=2e-6)
