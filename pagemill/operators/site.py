@@ -165,38 +165,3 @@ def robots_txt(sites: DataFrame) -> DataFrame:
     named = F.when(F.size(maps) > 0, F.concat(F.lit("\n"), F.array_join(lines("Sitemap", maps), "\n"), F.lit("\n"))).otherwise(F.lit(""))
     text = F.when((F.size(rules) > 0) | (F.size(maps) > 0), F.concat(head, F.lit("\n"), named))
     return sites.select("site_id", F.when(at_host_root(F.col("address"), F.col("base")), text).alias("document"))
-
-
-def resolve_markdown(requests: DataFrame, pages: DataFrame, public: DataFrame) -> DataFrame:
-    """Answers to ``.md`` requests (site_id, path): kind, status, location, route.
-
-    A page in ``public`` answers 200; a redirect 302 to the target's markdown; a container leads to
-    its first page; a template takes any last segment; else 404. Paths that are not markdown are null.
-    """
-    asked = requests.withColumn("route", R.markdown_filename_route(F.col("path")))
-    known = pages.select("site_id", "route", F.col("ord").alias("o"), R.is_container(F.col("has_content")).alias("box"), "redirect")
-    known = known.withColumn("n", F.row_number().over(Window.partitionBy("site_id", "route").orderBy("o"))).where("n = 1").drop("n", "o")
-    content = pages.where(~R.is_container(F.col("has_content")) & ~R.is_dynamic(F.col("route"), F.col("is_dynamic")))
-    first = content.select("site_id", "ord", F.col("route").alias("leaf"), F.explode(R.ancestors(F.col("route"))).alias("route")).groupBy("site_id", "route").agg(F.min_by("leaf", "ord").alias("leaf"))
-    shown = public.select("site_id", "route", F.lit(True).alias("shown")).distinct()
-    templates = pages.where(R.record_route_base(F.col("route")).isNotNull()).select("site_id", R.record_route_base(F.col("route")).alias("base"), F.col("route").alias("template")).dropDuplicates(["site_id", "base"])
-    up = F.regexp_replace("route", "/[^/]+$", "")
-    out = asked.join(known, ["site_id", "route"], "left").join(first, ["site_id", "route"], "left").join(shown, ["site_id", "route"], "left")
-    out = out.withColumn("base", F.when(up == "", F.lit("/")).otherwise(up)).join(templates, ["site_id", "base"], "left")
-    suffix = lambda r: F.regexp_extract(r, r"[?#].*$", 0)
-    bare = lambda r: F.regexp_replace(r, r"[?#].*$", "")
-    md = lambda r: F.concat(F.lit("/"), R.markdown_filename(bare(r)), suffix(r))
-    targets = known.select("site_id", F.col("route").alias("target"), F.lit(True).alias("target_known"))
-    out = out.withColumn("target", F.when(bare(F.col("redirect")) == "/", F.lit("/")).otherwise(F.regexp_replace(bare(F.col("redirect")), "/+$", ""))).join(targets, ["site_id", "target"], "left")
-    kind = (
-        F.when(F.col("route").isNull(), F.lit(None).cast("string"))
-        .when(F.col("redirect").isNotNull(), F.lit("redirect"))
-        .when(F.coalesce("box", F.lit(False)) & F.col("leaf").isNotNull(), F.lit("redirect"))
-        .when(F.coalesce("shown", F.lit(False)), F.lit("page"))
-        .when(F.col("box").isNull() & F.col("template").isNotNull(), F.lit("record"))
-        .otherwise(F.lit("notFound"))
-    )
-    out = out.withColumn("kind", kind)
-    status = F.when(F.col("kind").isin("page", "record"), 200).when(F.col("kind") == "redirect", 302).when(F.col("kind") == "notFound", 404)
-    to = F.when(F.col("kind") == "redirect", F.coalesce(F.when(F.col("redirect").startswith("/") & ~F.col("redirect").startswith("//") & F.coalesce("target_known", F.lit(False)), md(F.col("redirect"))), F.col("redirect"), md(F.col("leaf"))))
-    return out.select("site_id", "path", "kind", status.alias("status"), to.alias("location"), F.when(F.col("kind").isin("page", "record"), F.coalesce(F.when(F.col("kind") == "record", F.col("template")), F.col("route"))).alias("route"))

@@ -12,6 +12,7 @@ from ..functions import routes as R
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import entries as EN
+from ..operators import requests as RQ
 from ..operators import richtext as T
 from ..operators import results as RS
 from ..operators import search as SE
@@ -386,6 +387,38 @@ def accepts_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("i", R.origin(F.col("o")).alias("own"), R.accepts_origin(R.expected_origins(F.col("e").cast("array<string>")), F.col("o"), site).alias("ok"))
 
 
+_SPOKEN = "site_id string, path string"
+_ROOMS = [("/", None, None, None), ("/blog", None, None, None), ("/blog/:slug", None, None, None), ("/docs", False, None, None), ("/docs/intro", None, None, None), ("/shop", False, None, None), ("/shop/index", None, None, True),
+          ("/old", None, "/blog#latest", None), ("/file", None, "/files/a.pdf", None), ("/kb/notes/:slug", None, None, None), ("/quiet", None, None, None)]
+
+
+def _languages(spark: SparkSession, resolve, paths: list[str]) -> DataFrame:
+    pages = spark.createDataFrame([("s", i, *r, None) for i, r in enumerate(_ROOMS)], "site_id string, ord long, route string, has_content boolean, redirect string, is_index boolean, is_dynamic boolean")
+    sites = spark.createDataFrame([("s", "en", ["en", "fr"])], "site_id string, default_locale string, locales array<string>")
+    words = spark.createDataFrame([("s", "fr", "/blog", "/blogue"), ("s", "fr", "/docs", "/guide")], "site_id string, locale string, route string, translated string")
+    closed = spark.createDataFrame([("s", "/kb")], "site_id string, route string")
+    asked = spark.createDataFrame([("s", p) for p in paths], _SPOKEN)
+    public = pages.where("route <> '/quiet' and redirect is null and has_content is null")
+    return resolve(asked, pages, public, sites, words, closed).drop("site_id")
+
+
+@query("""SELECT * FROM (VALUES ('/index.md', 'page', 200, NULL, '/'), ('/fr/index.md', 'page', 200, NULL, '/'), ('/fr/blogue.md', 'page', 200, NULL, '/blog'), ('/fr/blog.md', 'redirect', 301, '/fr/blogue.md', NULL),
+ ('/en/blog.md', 'redirect', 301, '/blog.md', NULL), ('/fr/docs.md', 'redirect', 301, '/fr/guide.md', NULL), ('/fr/guide.md', 'redirect', 302, '/fr/guide/intro.md', NULL), ('/fr/guide/intro.md', 'page', 200, NULL, '/docs/intro'),
+ ('/docs.md', 'redirect', 302, '/docs/intro.md', NULL), ('/shop.md', 'page', 200, NULL, '/shop/index'), ('/old.md', 'redirect', 302, '/blog.md#latest', NULL), ('/file.md', 'redirect', 302, '/files/a.pdf', NULL),
+ ('/blog/hello.md', 'record', 200, NULL, '/blog/:slug'), ('/fr/blogue/hello.md', 'record', 200, NULL, '/blog/:slug'), ('/kb/notes/x.md', 'notFound', 404, NULL, NULL), ('/quiet.md', 'notFound', 404, NULL, NULL),
+ ('/fr/nope.md', 'notFound', 404, NULL, NULL), ('/blog', NULL, NULL, NULL, NULL), ('/fr/', NULL, NULL, NULL, NULL), ('/fr/.md', NULL, NULL, NULL, NULL)) t(path, kind, status, location, route)""")
+def md_language_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = "/index.md /fr/index.md /fr/blogue.md /fr/blog.md /en/blog.md /fr/docs.md /fr/guide.md /fr/guide/intro.md /docs.md /shop.md /old.md /file.md /blog/hello.md /fr/blogue/hello.md /kb/notes/x.md /quiet.md /fr/nope.md /blog /fr/ /fr/.md"
+    return _languages(spark, RQ.resolve_markdown, paths.split())
+
+
+@query("""SELECT * FROM (VALUES ('/', 'page', 200, NULL, '/'), ('', 'page', 200, NULL, '/'), ('/fr', 'page', 200, NULL, '/'), ('/fr/', 'page', 200, NULL, '/'), ('/fr/blogue', 'page', 200, NULL, '/blog'), ('/fr/blog', 'redirect', 301, '/fr/blogue', NULL),
+ ('/docs', 'redirect', 302, '/docs/intro', NULL), ('/fr/guide', 'redirect', 302, '/fr/guide/intro', NULL), ('/old', 'redirect', 302, '/blog#latest', NULL), ('/blog/hello', 'record', 200, NULL, '/blog/:slug'),
+ ('/kb/notes/x', 'notFound', 404, NULL, NULL), ('/quiet', 'notFound', 404, NULL, NULL), ('/nowhere', 'notFound', 404, NULL, NULL)) t(path, kind, status, location, route)""")
+def address_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, RQ.resolve_address, ["", *"/ /fr /fr/ /fr/blogue /fr/blog /docs /fr/guide /old /blog/hello /kb/notes/x /quiet /nowhere".split()])
+
+
 @query(r"""WITH """ + _GRAPH + """, f AS (SELECT g.route, min(l.route) FILTER (l.ord = (SELECT min(k.ord) FROM g k WHERE k.has_content IS DISTINCT FROM false AND NOT contains(k.route, '/:') AND starts_with(k.route, g.route || '/'))) AS leaf
   FROM g JOIN g l ON starts_with(l.route, g.route || '/') AND l.has_content IS DISTINCT FROM false GROUP BY g.route, g.ord)
 SELECT g.route || '.md' AS path, CASE WHEN g.has_content = false AND leaf IS NOT NULL THEN 'redirect' WHEN leaf_.route IS NOT NULL THEN 'page' ELSE 'notFound' END AS kind,
@@ -395,7 +428,7 @@ FROM g LEFT JOIN f ON f.route = g.route LEFT JOIN leaf leaf_ ON leaf_.route = g.
 def md_request_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = A.page_graph(spark, sf_dir).withColumn("redirect", F.lit(None).cast("string"))
     requests = pages.select("site_id", F.concat("route", F.lit(".md")).alias("path"))
-    return SI.resolve_markdown(requests, pages, S.select_indexable(pages, EXCLUDE)).select("path", "kind", "status", "location")
+    return RQ.resolve_markdown(requests, pages, S.select_indexable(pages, EXCLUDE)).select("path", "kind", "status", "location")
 
 
 @query(f"""WITH {_GRAPH} SELECT route, route IN (SELECT route FROM leaf) AS page,
@@ -634,4 +667,4 @@ def md_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("/old", "/new?a=1#x"), ("/gone", "/nowhere"), ("/out", "https://x.org/y"), ("/new", None), ("/b/:id", None)]
     pages = spark.createDataFrame([("s", i, r, to, None, None) for i, (r, to) in enumerate(rows)], "site_id string, ord long, route string, redirect string, has_content boolean, is_dynamic boolean")
     asked = spark.createDataFrame([("s", p) for p in ("/old.md", "/gone.md", "/out.md", "/new.md", "/b/anything.md", "/no.md", "/new")], "site_id string, path string")
-    return SI.resolve_markdown(asked, pages, pages.where("redirect is null")).select("path", "kind", "status", "location")
+    return RQ.resolve_markdown(asked, pages, pages.where("redirect is null")).select("path", "kind", "status", "location")

@@ -158,3 +158,16 @@ def test_table_headers_are_no_search_text():
     cell = lambda kind: {"type": kind, "content": [{"type": "paragraph", "content": [text(kind)]}]}
     doc = {"type": "doc", "content": [{"type": "table", "content": [{"type": "tableRow", "content": [cell("tableHeader"), cell("tableCell")]}]}]}
     assert T.extract(doc) == (None, ["tableCell"])
+
+
+def test_requests_on_a_language_s_own_host(spark):
+    from pagemill.operators import requests as RQ
+
+    pages = spark.createDataFrame([("s", 0, "/blog", None, None, None), ("s", 1, "/new", None, "/blog", None)], "site_id string, ord long, route string, has_content boolean, redirect string, is_dynamic boolean")
+    sites = spark.createDataFrame([("s", "en", ["en", "fr"], "fr")], "site_id string, default_locale string, locales array<string>, domain_locale string")
+    words = spark.createDataFrame([("s", "fr", "/blog", "/blogue")], "site_id string, locale string, route string, translated string")
+    asked = spark.createDataFrame([("s", p) for p in ("/blogue.md", "/blog.md", "/fr/blogue.md", "/en/blog.md", "/new.md", None)], "site_id string, path string")
+    got = {r["path"]: (r["status"], r["location"]) for r in RQ.resolve_markdown(asked, pages, pages.where("redirect is null"), sites, words).collect()}
+    assert got == {"/blogue.md": (200, None), "/blog.md": (301, "/blogue.md"), "/fr/blogue.md": (301, "/blogue.md"), "/en/blog.md": (200, None), "/new.md": (302, "/blog.md"), None: (None, None)}
+    none = RQ.resolve_address(asked.limit(0), pages, pages.limit(0), sites, words)
+    assert none.count() == 0
