@@ -30,13 +30,14 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, released, width
+from .common import cut_lineage, give_back, released, width
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 2_000_000
@@ -192,28 +193,39 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     )
                     nth += 1
 
-    def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+    def table_of(n: int, right: pa.Table) -> pa.Array:
+        """The ids of a block's words, by their numbers; null where none came."""
         open_ = zstandard.ZstdDecompressor()
+        at, lengths, data = [], [], []
+        for numbers, sizes, ids in zip(right["numbers"], right["sizes"], right["ids"], strict=True):
+            some = _unpacked(numbers.as_py())
+            if len(some) and some.max() >= n:
+                continue
+            at.append(some)
+            lengths.append(_unpacked(sizes.as_py()))
+            data.append(open_.decompress(ids.as_py()))
+        at = np.concatenate([np.zeros(0, np.uint32), *at])
+        edges = np.cumsum(np.concatenate([np.zeros(1, np.int64), *lengths])).astype(np.int32)
+        came = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(b"".join(data))])
+        place = np.full(n, -1, np.int64)
+        place[at] = np.arange(len(at))
+        return came.take(pa.array(place, mask=place < 0))
+
+    def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # what the group before this one held
         n = left["n_words"][0].as_py() if len(left) else 0
-        table = np.empty(n, dtype=object)
-        filled = np.zeros(n, dtype=bool)
-        for numbers, sizes, ids in zip(right["numbers"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist(), strict=True):
-            at, lengths = _unpacked(numbers), _unpacked(sizes).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.py_buffer(open_.decompress(ids))])
-            if not len(at) or at.max() < n:
-                table[at] = data.to_numpy(zero_copy_only=False)
-                filled[at] = True
-        if not filled.all():
+        table = table_of(n, right)
+        if table.null_count:
             raise RuntimeError("the input's rows changed between two passes; encode it with stable=False")
-        table = pa.array(table, pa.binary())
+        left = left.take(pc.sort_indices(left["nth"]))
         out = []
-        for row in sorted(left.select(["nth", "counts", "positions", *names]).to_pylist(), key=lambda r: r["nth"]):
-            counts = _unpacked(row["counts"]).astype(np.int64)
-            got = table.take(pa.array(_unpacked(row["positions"])))
+        for row in range(len(left)):
+            counts = _unpacked(left["counts"][row].as_py()).astype(np.int64)
+            got = table.take(pa.array(_unpacked(left["positions"][row].as_py())))
             edges = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1] if len(got) else np.zeros(1, np.int32)
             edges = edges[np.concatenate([[0], np.cumsum(counts)])]
             ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(edges)), got.buffers()[2] or pa.py_buffer(b"")])
-            keys = [pa.array(row[n], type=left.schema.field(n).type.value_type) for n in names]
+            keys = [left[k][row].values for k in names]
             out.append(pa.Table.from_arrays([*keys, pa.array(np.diff(edges).astype(np.int64) // 4), ids], [*names, "n_tokens", "token_ids"]))
         return pa.concat_tables(out)
 
