@@ -111,37 +111,47 @@ def top(scored: DataFrame, limit: Column | int) -> DataFrame:
 
 
 def weights_of(index: Index, asked: DataFrame, prefix: bool) -> DataFrame:
-    """qid, term, mult, kind of exact terms and, for the last token, completions."""
-    exact = asked.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).withColumn("mult", F.lit(1.0))
+    """qid, term, mult and place (kind, n) of exact terms, in the query's order, and, for the last token, completions."""
+    exact = asked.select("qid", F.posexplode(F.array_distinct("tokens")).alias("n", "term"))
+    exact = exact.select("qid", "term", F.lit(1.0).alias("mult"), F.struct(F.lit(0).alias("kind"), F.col("n").cast("long").alias("n")).alias("place"))
     if not prefix:
         return exact
     last = asked.where((F.size("tokens") > 0) & ~F.col("text").rlike(f"{X.WIDE_SPACE}$")).select("qid", F.try_element_at("tokens", F.lit(-1)).alias("prefix"))
-    more = completions(index.dictionary(), last).select("qid", "term", F.lit(PREFIX_PART).alias("mult"))
-    return exact.unionByName(more).groupBy("qid", "term").agg(F.max("mult").alias("mult"))
+    more = completions(index.dictionary(), last).select("qid", "term", F.lit(PREFIX_PART).alias("mult"), F.struct(F.lit(1).alias("kind"), (-F.col("df")).alias("n")).alias("place"))
+    return exact.unionByName(more).groupBy("qid", "term").agg(F.max("mult").alias("mult"), F.min("place").alias("place"))
+
+
+def _in_order(place: Column, value: Column) -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), value.alias("value")))), lambda x: x["value"])
 
 
 def scored_terms(index: Index, queries: DataFrame, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
     """qid, terms, corrections of the queries that match: what ``rank`` scores with.
 
-    ``terms`` are dictionary terms: a query's own and completions, or else its corrections.
-    ``corrections`` (token and the commonest term for it) is null unless the fallback answered.
+    ``terms`` are dictionary terms: a query's own in its order and completions, the commonest first,
+    or else its corrections, by token and the commonest first. ``corrections`` (token and the
+    commonest term for it, in the query's order) is null unless the fallback answered.
     """
     asked, dictionary = query_terms(queries), index.dictionary()
-    found = weights_of(index, asked, prefix).join(dictionary, "term", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    found = weights_of(index, asked, prefix).join(dictionary, "term", "left_semi").groupBy("qid").agg(_in_order(F.col("place"), F.col("term")).alias("terms"))
     pair = "array<struct<token:string,to:string>>"
     found = found.withColumn("corrections", F.lit(None).cast(pair))
     if not fuzzy:
         return found
-    missed = asked.join(found.select("qid"), "qid", "left_anti").select("qid", F.explode(F.array_distinct("tokens")).alias("token"))
+    missed = asked.join(found.select("qid"), "qid", "left_anti").select("qid", F.posexplode(F.array_distinct("tokens")).alias("n", "token"))
+    near = corrections(dictionary, missed.select("qid", "token")).join(missed, ["qid", "token"])
     first = F.when(F.col("r") == 1, F.struct("token", F.col("term").alias("to")))
-    near = corrections(dictionary, missed).groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_list(first)).cast(pair).alias("corrections"))
+    near = near.groupBy("qid").agg(
+        F.array_distinct(_in_order(F.struct("n", "r"), F.col("term"))).alias("terms"),
+        F.filter(_in_order(F.struct("n", "r"), first), lambda x: x.isNotNull()).cast(pair).alias("corrections"),
+    )
     return found.unionByName(near)
 
 
 def rank(index: Index, queries: DataFrame, limit: int = 10, prefix: bool = True, fuzzy: bool = True, phrase: bool = True) -> DataFrame:
     """qid, rank, doc, score, total, fuzzy for a batch of queries (qid, text)."""
     asked = query_terms(queries)
-    weights = weights_of(index, asked, prefix)
+    weights = weights_of(index, asked, prefix).drop("place")
     flags = asked.select("qid", F.lit(False).alias("fuzzy"))
     if fuzzy:
         # a query has hits if the dictionary has a term of it

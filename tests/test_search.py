@@ -93,6 +93,13 @@ def test_results_are_marked_by_the_terms_that_scored(spark):
     assert out[2]["matches"][0]["indices"] == [[200, 204]] and "<mark>inset</mark>" in out[2]["snippetHtml"] and "<mark>" not in out[2]["snippetText"]
 
 
+def test_returned_terms_keep_the_order_of_the_query(spark):
+    rows = entries(spark, [(0, "t", "zulu alpha beta betas betty", 0.6), (1, "t", "alpha betty inset inlet", 0.6), (2, "t", "inlet sinks", 0.6)])
+    queries = spark.createDataFrame([(1, "zulu alpha zulu bet"), (2, "sinkz insef zzzz"), (3, "")], "qid long, text string")
+    got = {r["qid"]: (r["terms"], r["corrections"] and [tuple(c) for c in r["corrections"]]) for r in SE.scored_terms(SE.build(rows), queries).collect()}
+    assert got == {1: (["zulu", "alpha", "betty", "beta", "betas"], None), 2: (["sinks", "inset"], [("sinkz", "sinks"), ("insef", "inset")])}
+
+
 def test_search_results_query_marks_corrections(spark, tmp_path):
     from pagemill.plans import catalogue
 
